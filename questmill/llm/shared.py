@@ -90,3 +90,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
 def text_list(column: pa.Array) -> list[str]:
     """Python strings of a batch's column; null becomes the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
