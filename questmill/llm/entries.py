@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
+from .hilbert import hilbert_shards
 from .near_dup import near_duplicates
+from .packing import pack_documents
+from .quality import with_quality
+from .shared import vocabulary
+from .token_edits import count_edited
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +23,27 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_edited(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
+def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality.*")
+
+
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -32,15 +59,16 @@ WITH RECURSIVE w AS (
   SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
 ), both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e
 ), walk AS (
-  SELECT x AS doc_id, x AS at FROM both_ways UNION SELECT walk.doc_id, b.y FROM walk JOIN both_ways b ON walk.at = b.x
-), c AS (SELECT doc_id, min(at) AS low FROM walk GROUP BY doc_id)
+  SELECT x AS doc_id, x AS node FROM both_ways UNION SELECT walk.doc_id, b.y FROM walk JOIN both_ways b ON walk.node = b.x
+), c AS (SELECT doc_id, min(node) AS low FROM walk GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    found = (op1_minhash, op2_edited_token_counts, op4_hilbert_shards, op5_nnls_packing, op7_quality_ratio, op9_prefix_bpe)
+    return {fn.__name__: fn for fn in found}
 
 
 def oracle_sql() -> dict[str, str]:
