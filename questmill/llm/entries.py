@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .embed_dup import similar_vectors
 from .hilbert import hilbert_shards
 from .near_dup import near_duplicates
 from .packing import pack_documents
@@ -35,6 +36,10 @@ def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "quality.*")
@@ -65,11 +70,27 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v
+), e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93
+), walk AS (
+  SELECT x AS vec_id, x AS node FROM e UNION SELECT walk.vec_id, e.y FROM walk JOIN e ON walk.node = e.x
+), c AS (SELECT vec_id, min(node) AS low FROM walk GROUP BY vec_id
+), n AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY x)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.low, t.vec_id) AS component_id, coalesce(c.low, t.vec_id) = t.vec_id AS kept
+FROM embeddings t LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_edited_token_counts, op4_hilbert_shards, op5_nnls_packing, op7_quality_ratio, op9_prefix_bpe)
+    found = (op1_minhash, op2_edited_token_counts, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op9_prefix_bpe)
     return {fn.__name__: fn for fn in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL}
+    return {"op1_minhash": OP1_SQL, "op6_vector_tiles": OP6_SQL}
