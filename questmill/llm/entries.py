@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .embed_dup import similar_vectors
 from .hilbert import hilbert_shards
+from .html_main import extract_pages
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import with_quality
@@ -28,6 +29,10 @@ def op2_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_edited(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +93,7 @@ FROM embeddings t LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_edited_token_counts, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op9_prefix_bpe)
+    found = (op1_minhash, op2_edited_token_counts, op3_tree_scoring, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op9_prefix_bpe)
     return {fn.__name__: fn for fn in found}
 
 
