@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, pii
 from .bpe import encode_documents
 from .embed_dup import similar_vectors
 from .hilbert import hilbert_shards
 from .html_main import extract_pages
-from .langid import fit, held_out, with_language
+from .langid import held_out, with_language
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import with_quality
@@ -52,13 +53,18 @@ def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op8_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    judged = with_language(docs.select("doc_id", "text"), fit(docs))
+    judged = with_language(docs.select("doc_id", "text"), langid.fit(docs))
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -101,7 +107,7 @@ FROM embeddings t LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_edited_token_counts, op3_tree_scoring, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op9_prefix_bpe, op10_crf_language)
+    found = (op1_minhash, op2_edited_token_counts, op3_tree_scoring, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op8_lstm_crf_pii, op9_prefix_bpe, op10_crf_language)
     return {fn.__name__: fn for fn in found}
 
 

@@ -10,6 +10,7 @@ the documents of at most ``TRAIN_CHARS`` characters; at most ``TRAIN_WORDS`` of
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -259,12 +260,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(True))
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((n, lang, text) for batch in batches for lang, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(lang, text) for _, lang, text in rows]))], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on the bounded sample of labelled documents that are not held out; None if there are none."""
+    """Train on the bounded sample of labelled documents that are not held out, in one task; None if there are none."""
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_DOCS).select("lang", "text", "n").collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))])
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    sample = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_DOCS).select("lang", "text", "n").repartition(1)
+    models = map_arrow(sample, _train_task, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else None
 
 
 def with_language(docs: DataFrame, model: Model | None, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
