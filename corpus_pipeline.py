@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from questmill.llm.shared import stash
+from questmill.llm import langid, pii
+from questmill.llm.near_dup import near_duplicates
+from questmill.llm.packing import pack_documents
+from questmill.llm.quality import with_quality
+from questmill.llm.shared import stash, vocabulary
 
-STAGES: list = []
+#: A document leaves when no language has this share of its words.
+LEAST_SHARE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio."""
+    judged = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="__quality")
+    return judged.where("__quality.kept").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which at least half is in one learned language."""
+    judged = with_language(docs, langid.fit(docs), names=("__lang", "__share"))
+    return judged.where((F.col("__lang") != "und") & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-copies; rows that repeat its id stay once."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; character counts follow."""
+    return pii.redact_documents(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("PII", personal_data),
+    ("packing", packing),
+]
 #: Language model, PII model and tokenizer have no SQL form; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
