@@ -9,6 +9,7 @@ takes slot s of sequence b + r - start. Only the histogram (256 numbers) reaches
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +23,17 @@ from .shared import global_rank, map_arrow, pick, stash, text_list
 
 WINDOW = 4096
 STEP = 16
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
 END_ID = 2
+#: A word and the marks after it, which no pre-token joins; letters whose lower case is one letter, whatever stands around it.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ňŋ-ſ]+)([!-/:-@\[-`{-~]*)")
 
 
 class ChunkTokens:
     """Ids of space-delimited chunks as little-endian 32-bit bytes.
 
-    For a tokenizer that drops white space and never joins across it, a text's ids are those of its chunks in order.
+    For a tokenizer that lower-cases, drops white space and keeps letters, digits and marks apart, a text's ids are those of its
+    chunks in order, and a chunk's those of its word and of the marks after it.
     """
 
     def __init__(self, path: str):
@@ -39,6 +43,21 @@ class ChunkTokens:
         self.tokenizer.no_padding()
         self.seen: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        found = self.seen.get(part)
+        if found is None:
+            found = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes() if part else b""
+            if len(part) <= 48:
+                self.seen[part] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = WORD_AND_MARKS.fullmatch(chunk)
+        found = self._part(m[1].lower()) + self._part(m[2]) if m else self._part(chunk)
+        if len(chunk) <= 48:
+            self.seen[chunk] = found
+        return found
+
     def ids(self, text: str) -> bytes:
         seen = self.seen
         if len(seen) > CACHE_CHUNKS:
@@ -46,12 +65,9 @@ class ChunkTokens:
         words = text.replace("\n", " ").split(" ")
         out = list(map(seen.get, words))
         if None in out:
-            missing = list(dict.fromkeys([w for w, x in zip(words, out, strict=True) if x is None]))
-            found = {}
-            for w in missing:
-                found[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if w else b""
-            seen.update((w, x) for w, x in found.items() if len(w) <= 48)
-            out = [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
+            for i, known in enumerate(out):
+                if known is None:
+                    out[i] = seen.get(words[i]) or self._chunk(words[i])
         return b"".join(out)
 
 
