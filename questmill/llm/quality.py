@@ -118,6 +118,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         "n_repeat_words",
         "base_failed",
         "score",
-        (~F.col("base_failed") & F.coalesce(F.col("score") > threshold, F.lit(False))).alias("kept"),
+        # the row number keeps a later filter on this field from being pushed below, where it would compute the counts again
+        (~F.col("base_failed") & F.coalesce(F.col("score") > threshold, F.lit(False)) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
     )
     return rows.select("row", fields.alias("judged")).select("row.*", F.col("judged").alias(name))
