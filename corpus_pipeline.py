@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questmill.llm import langid, pii
+from questmill.llm.langid import with_language
 from questmill.llm.near_dup import near_duplicates
 from questmill.llm.packing import pack_documents
 from questmill.llm.quality import with_quality
