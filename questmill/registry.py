@@ -19,3 +19,11 @@ def query(sql: str | None = None, name: str | None = None):
         return fn
 
     return put
+
+
+def load() -> None:
+    """Import every module of plans, which registers its queries."""
+    from .plans import audits, explorer, exams, joins, ordered, streams, texts  # noqa: F401
+
+
+load()
