@@ -74,8 +74,9 @@ def latest_first() -> list[Column]:
 def unit_matches(unit: Column, wanted: str) -> Column:
     """A unit by its name, without regard to spaces, by what stands before a colon, or by its first digit 1-6."""
     low, want = F.lower(unit), wanted.lower()
-    squeezed = F.regexp_replace(low, r"\s", "") == "".join(want.split())
-    head = F.trim(F.split(low, ":")[0]) == want.split(":")[0].strip()
+    bare = F.regexp_replace(low, r"\s", "")
+    squeezed = bare == "".join(want.split())
+    head = F.split(bare, ":")[0] == "".join(want.split(":")[0].split())
     digit = next((c for c in want if c in "123456"), None)
     by_digit = F.regexp_extract(low, r"\b([1-6])\b", 1) == digit if digit else F.lit(False)
     return squeezed | head | by_digit
