@@ -12,8 +12,8 @@ from questmill.llm.packing import pack_documents
 from questmill.llm.quality import with_quality
 from questmill.llm.shared import stash, vocabulary
 
-#: A document leaves when no language has this share of its words.
-LEAST_SHARE = 0.5
+#: A document leaves when no language has this share of its words; text that mixes two languages stays.
+LEAST_SHARE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least half is in one learned language."""
+    """Documents with a learned language that at least two words in five belong to."""
     judged = with_language(docs, langid.fit(docs), names=("__lang", "__share"))
     return judged.where((F.col("__lang") != "und") & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
 
