@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONGEST = 200
@@ -128,23 +128,66 @@ def assemble(pool: pd.DataFrame, target: int, mcq_share: float) -> tuple[list[in
 
 def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True) -> DataFrame:
     """Solve one selection a request: ``pool`` has (request, target, id, marks, kind, topic, paper, priority, order) and is grouped by
-    request, whose pools are small by design. Gives (request, id, marks, total, target)."""
+    request, whose pools are small by design. Gives (request, id, marks, total, target, log)."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["order", "id"]).reset_index(drop=True)
         goal = int(frame["target"].iloc[0])
         if mcq_share:
-            places, _ = assemble(frame, goal, mcq_share)
+            places, log = assemble(frame, goal, mcq_share)
         else:
             marks = frame["marks"].astype(int).tolist()
-            places = closest_subset(marks, goal) if closest else exact_subset(marks, goal) or []
+            places, log = closest_subset(marks, goal) if closest else exact_subset(marks, goal) or [], []
         out = frame.loc[places, ["request", "id", "marks"]].copy()
-        out["total"], out["target"] = int(out["marks"].sum()), goal
+        out["total"], out["target"], out["log"] = int(out["marks"].sum()), goal, "; ".join(log)
         return out
 
-    return pool.withColumn("target", F.col(target)).groupBy("request").applyInPandas(solve, "request string, id string, marks int, total int, target int")
+    return pool.withColumn("target", F.col(target)).groupBy("request").applyInPandas(solve, "request string, id string, marks int, total int, target int, log string")
 
 
 def seeded_order(key: Column, seed: str) -> Column:
     """A shuffle that any engine can repeat."""
     return F.md5(F.concat(key, F.lit(seed)))
+
+
+def soft_filter(df: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+    """Keep a group's wanted rows; a group without any keeps all of its rows."""
+    some = F.max(F.coalesce(wanted, F.lit(False)).cast("int")).over(Window.partitionBy(*by))
+    return df.withColumn("__some", some).where((F.col("__some") == 0) | wanted).drop("__some")
+
+
+def prepare_pool(df: DataFrame, *, mode: str = "balanced", structure: str = "authentic", units: list[str] | None = None, subtopics: list[str] | None = None, seed: str = "1") -> DataFrame:
+    """A request's questions with priority and order: rows (request, target, id, marks, kind, topic, subtopic, unit, paper, status,
+    is_bookmarked).
+
+    Unit, type and subtopic are soft constraints. Unattempted-only is used where it leaves enough marks. Priorities: 50; review
+    first 300 for bookmarked or wrong, 100 unattempted, else 20; unattempted only 250 or 40; 150 more for a chosen subtopic; up to 40
+    by the seeded hash.
+    """
+    df = df.where("marks > 0")
+    if units:
+        df = soft_filter(df, ["request"], F.col("unit").isin(units))
+    if structure in ("theory_only", "mcq_sprint"):
+        df = soft_filter(df, ["request"], F.col("kind") == ("mcq" if structure == "mcq_sprint" else "theory"))
+    if subtopics:
+        df = soft_filter(df, ["request"], F.col("subtopic").isin(subtopics))
+    status = F.coalesce("status", F.lit("unattempted"))
+    if mode == "unattempted_only":
+        fresh = status == "unattempted"
+        enough = F.sum(F.when(fresh, F.col("marks")).otherwise(0)).over(Window.partitionBy("request")) >= F.col("target")
+        df = df.withColumn("__enough", enough).where(~F.col("__enough") | fresh).drop("__enough")
+        base = F.when(fresh, 250).otherwise(40)
+    elif mode == "review_first":
+        base = F.when(F.coalesce("is_bookmarked", F.lit(False)) | status.isin("review", "incorrect"), 300).when(status == "unattempted", 100).otherwise(20)
+    else:
+        base = F.lit(50)
+    chosen = F.when(F.col("subtopic").isin(subtopics), 150).otherwise(0) if subtopics else F.lit(0)
+    jitter = F.conv(F.substring(seeded_order(F.col("id"), seed), 1, 4), 16, 10).cast("int") % 41
+    return df.withColumn("priority", base + chosen + jitter).withColumn("order", seeded_order(F.col("id"), seed))
+
+
+def remaining(pool: DataFrame, cart: DataFrame) -> DataFrame:
+    """The pool without what a cart (request, id, marks) holds, and targets less its marks: what is left to fill."""
+    held = cart.groupBy("request").agg(F.sum("marks").cast("int").alias("__held"))
+    rest = pool.join(cart.select("request", "id"), ["request", "id"], "left_anti").join(held, "request", "left")
+    return rest.withColumn("target", F.greatest(F.lit(0), F.col("target") - F.coalesce("__held", F.lit(0)))).drop("__held").where("target > 0")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from questmill.operators.exam import closest_subset, exact_subset, select_exams
+from questmill.operators.exam import closest_subset, exact_subset, prepare_pool, remaining, select_exams
 from questmill.operators.explore import FilterSpec, facet_all, facet_many, unit_matches
 from questmill.operators.match import anti_any, asof_join, fallback_join, nearest_join
 from questmill.operators.merge import ghost_purge, latest, merge_progress, partial_latest, replace_by
@@ -130,3 +130,18 @@ def test_taxonomy(spark):
     assert [r.v for r in t.collect()] == ["safety", "other"]
     rows = spark.createDataFrame([("general", ["a", "b"], True), ("x", ["x", "b", "c"], False)], "main string, rel array<string>, generic boolean")
     assert [(r.main, r.rel) for r in apply_rules(rows, "main", "rel", [promote(F.col("generic"))]).collect()] == [("a", ["b"]), ("x", ["b"])]
+
+
+def test_pool_preparation(spark):
+    rows = [("r", 10, f"q{i}", 2 + i % 3, "mcq" if i < 3 else "theory", "t", f"s{i % 2}", "U1", "p", "mastered" if i % 4 == 0 else None, i == 5) for i in range(12)]
+    df = spark.createDataFrame(rows, "request string, target int, id string, marks int, kind string, topic string, subtopic string, unit string, paper string, status string, is_bookmarked boolean")
+    assert prepare_pool(df, units=["none"]).count() == 12 and prepare_pool(df, structure="mcq_sprint").count() == 3
+    assert {r.subtopic for r in prepare_pool(df, subtopics=["s1"]).collect()} == {"s1"}
+    assert prepare_pool(df, mode="unattempted_only").where("status = 'mastered'").count() == 0
+    assert prepare_pool(df.withColumn("target", F.lit(1000)), mode="unattempted_only").count() == 12
+    best = prepare_pool(df, mode="review_first").orderBy(F.col("priority").desc()).first()
+    assert best.id == "q5" and best.priority >= 300
+    pool = prepare_pool(df)
+    left = remaining(pool, pool.where("id = 'q1'").select("request", "id", "marks"))
+    assert left.count() == 11 and left.first().target == 7
+    assert select_exams(left).first().total == 7
