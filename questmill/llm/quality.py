@@ -23,21 +23,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 GRAM = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+def _hashes(text: Column) -> Column:
+    """A 64-bit hash of each letter/number run and symbol run."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(GRAM), F.lit(0)), lambda x: F.xxhash64(x))
 
 
-def _grams(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(GRAM), F.lit(0))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _pairs(hashes: str) -> Column:
+    """Hashes of neighbouring grams."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): n-gram counts over all of ``docs`` (doc_id, text) and over those whose id is in ``trusted`` (doc_id)."""
-    flagged = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), _grams(F.col("text")).alias("grams"))
-    n = F.size("grams")
-    one = F.transform("grams", lambda x: _bucket(x))
-    two = F.transform(F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: _bucket(F.get("grams", i), F.get("grams", i + 1)))
-    rows = flagged.select("trusted", F.explode(F.concat(one, two)).alias("bucket"))
+    flagged = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), _hashes(F.col("text")).alias("grams"))
+    rows = flagged.select("trusted", F.explode(F.concat(F.col("grams"), _pairs("grams"))).alias("gram")).select("trusted", _bucket(F.col("gram")).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").cast("long").alias("target"))
 
 
@@ -60,12 +64,12 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     """
     n = F.col("n_words")
     bits = F.ceil(F.log2(n + F.lit(2))).cast("int")
-    df = df.withColumn("bits", bits)
-    packed = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)), F.col("bits")).bitwiseOR(i.cast("long")),
-    )
-    df = df.withColumn("windows", F.sort_array(packed))
+    none = F.array().cast("array<bigint>")
+    three = F.transform(F.when(n >= 3, F.sequence(F.lit(0), n.cast("int") - 3)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    df = df.withColumn("bits", bits).withColumn("hashed", three)
+    # without two equal hashes there is no window to look for
+    packed = F.transform("hashed", lambda h, i: F.call_function("shiftleft", h, F.col("bits")).bitwiseOR(i.cast("long")))
+    df = df.withColumn("windows", F.when(F.size(F.array_distinct("hashed")) < F.size("hashed"), F.sort_array(packed)).otherwise(none))
 
     def place(x: Column) -> Column:
         return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int")
@@ -83,7 +87,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
         F.lit(0),
         lambda total, k: total + F.least(F.lit(3), F.coalesce(F.get("again", k + 1) - F.get("again", k), F.lit(3))),
     )
-    return df.withColumn("n_repeat_words", cover.cast("long")).drop("bits", "windows", "again")
+    return df.withColumn("n_repeat_words", cover.cast("long")).drop("bits", "hashed", "windows", "again")
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, name: str = "quality") -> DataFrame:
@@ -97,17 +101,14 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     corpus = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     table = F.split(F.lit(",".join(map(repr, weights(gram_counts(corpus, trusted))))), ",").cast("array<double>")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("words", F.filter(F.split("text", SPACE, -1), lambda x: x != "")).withColumn("grams", _grams(F.col("text")))
+    rows = rows.withColumn("words", F.filter(F.split("text", SPACE, -1), lambda x: x != "")).withColumn("grams", _hashes(F.col("text")))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     rows = _repeat_words(rows)
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines)
     n = F.size("grams")
-    total = F.aggregate(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0),
-        lambda acc, i: acc + F.get(table, _bucket(F.get("grams", i))) + F.when(i + 1 < n, F.get(table, _bucket(F.get("grams", i), F.get("grams", i + 1)))).otherwise(F.lit(0.0)),
-    )
+    one = F.aggregate("grams", F.lit(0.0), lambda acc, h: acc + F.get(table, _bucket(h)))
+    total = F.aggregate(_pairs("grams"), one, lambda acc, h: acc + F.get(table, _bucket(h)))
     rows = rows.withColumn("score", F.when(n > 0, total / (2 * n - 1)))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     fields = F.struct(
