@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sigs = stash(map_arrow(long_id, _signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed binary", k=words))
     full = sigs.where("digest is not null and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    heads = full.join(reps, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "n_shingles", "bands", "packed", "digest")
+    # joined by both keys: a digest that many copies share is dealt by their ids
+    heads = full.withColumnRenamed("doc_id", "rep").join(reps, ["digest", "rep"]).dropDuplicates(["rep", "digest"]).select("rep", "n_shingles", "bands", "packed", "digest")
     need = matches_needed(percent / 100 - SLACK)
     tiles = tiled(heads.select("rep", F.explode("bands").alias("bucket")), ["bucket"], F.lit(1), tile_rows)
     tiles = tiles.join(heads.select("rep", "packed"), "rep").select("bucket", "ti", "tj", "block", "rep", "packed")
