@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sorted_packs = packs.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj", "rep")
     links = stash(map_arrow(sorted_packs, _confirm, "a long, b long", need=need, percent=percent))
     linked = components(links).withColumnRenamed("node", "rep")
-    group = reps.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # stored, so that the join below is one of two plain shuffles, which Spark can split where many copies share a digest
+    group = stash(reps.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = sigs.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
