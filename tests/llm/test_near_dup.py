@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from questmill.llm.near_dup import HASHES, _equal_symbols, matches_needed, near_duplicates, shingles
+from questmill.llm.shared import components
 
 
 def brute(rows, percent=85):
@@ -56,6 +57,16 @@ def test_components_equal_brute_force(spark, tile_rows, tile_shingles):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_components_of_long_chains(spark):
+    falling, mixed = [0, *range(399, 0, -1)], [*range(1000, 1400)]
+    random.Random(8).shuffle(mixed)
+    edges = [(order[i], order[j]) for order, reach in ((falling, 1), (mixed, 3)) for i in range(400) for j in range(i + 1, min(400, i + 1 + reach))]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 if i < 1000 else 1000 for i in (*falling, *mixed)}
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components(spark.createDataFrame(edges, "a long, b long"), max_rounds=2)
+
+
 def test_given_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     found = near_duplicates(documents).collect()
