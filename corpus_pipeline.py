@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from questmill.llm import langid, pii
 from questmill.llm.langid import with_language
-from questmill.llm.near_dup import near_duplicates
+from questmill.llm.near_dup import without_near_copies
 from questmill.llm.packing import pack_documents
 from questmill.llm.quality import with_quality
 from questmill.llm.shared import stash, vocabulary
@@ -29,9 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies; rows that repeat its id stay once."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row with the smallest id of each group of near-copies; different texts under one id are different rows, rows that repeat
+    id and text stay once, and every row without an id stays."""
+    return without_near_copies(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         planes = [np.packbits(((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(BITS)]
         packed = np.concatenate(planes, axis=1)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(count), pa.array(digest, pa.binary()), lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "packed"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(count), pa.array(digest, pa.binary()), lists, pa.array([x.tobytes() for x in packed], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "digest", "bands", "packed", "text_key"])
 
 
 def matches_needed(threshold: float) -> int:
@@ -257,21 +257,24 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield out.filter(pa.array(same))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+def text_key(text: F.Column) -> F.Column:
+    """Names a text among the rows of one doc_id; a null text has its own name."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit("null"))
 
-    Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets. ``component_id`` is the smallest
-    doc_id reachable by links. Null or empty text: no shingles, linked with nothing, kept. Rows that repeat a doc_id and its text
-    give the same row as often as they occur. Null doc_id: component null and kept true, linked with nothing. Other columns of
-    the input are ignored. An empty table gives an empty result.
-    """
+
+def _judge(docs: DataFrame, *, id_col: str, text_col: str, words: int, percent: int, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, text_key, component_id, head), one per input row; ``head`` is the digest of the row that a group
+    of near copies is named after, the smallest of those with its smallest doc_id."""
     base = pick(docs, doc_id=id_col, text=text_col)
     long_id = base.withColumn("doc_id", F.col("doc_id").cast("long"))
-    sigs = stash(map_arrow(long_id, _signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed binary", k=words))
+    keyed = long_id.withColumn("text_key", text_key(F.col("text")))
+    sigs = stash(map_arrow(keyed, _signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed binary, text_key string", k=words))
     full = sigs.where("digest is not null and doc_id is not null")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # links are between texts, not ids: rows of one doc_id with different texts are different nodes, named by a hash of the digest
+    firsts = full.groupBy("digest").agg(F.min("doc_id").alias("first"))
     # joined by both keys: a digest that many copies share is dealt by their ids
-    heads = full.withColumnRenamed("doc_id", "rep").join(reps, ["digest", "rep"]).dropDuplicates(["rep", "digest"]).select("rep", "n_shingles", "bands", "packed", "digest")
+    own = full.withColumnRenamed("doc_id", "first").join(firsts, ["digest", "first"]).dropDuplicates(["first", "digest"])
+    heads = own.select(F.xxhash64("digest").alias("rep"), "first", "bands", "packed", "digest")
     need = matches_needed(percent / 100 - SLACK)
     tiles = tiled(heads.select("rep", F.explode("bands").alias("bucket")), ["bucket"], F.lit(1), tile_rows)
     tiles = tiles.join(heads.select("rep", "packed"), "rep").select("bucket", "ti", "tj", "block", "rep", "packed")
@@ -279,15 +282,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sorted_tiles = tiles.repartition(parts, "bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj", "rep")
     likely = stash(map_arrow(sorted_tiles, _bucket_edges, "a long, b long", need=need))
     families = components(likely)
-    held = heads.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep").select("rep", "family", "packed", "digest")
-    texts = held.join(long_id.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "family", "packed", "digest", "text")
+    held = heads.join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep").select("rep", "first", "family", "packed", "digest")
+    texts = held.join(long_id.withColumnRenamed("doc_id", "first"), "first").select("rep", "family", "packed", "digest", "text")
     sets = map_arrow(texts, _sets, "rep long, family long, packed binary, digest binary, hashes binary", k=words).dropDuplicates(["rep", "digest"])
     packs = tiled(sets, ["family"], F.octet_length("hashes") / 8, tile_shingles).select("family", "ti", "tj", "block", "rep", "packed", "hashes")
     sorted_packs = packs.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj", "rep")
     links = stash(map_arrow(sorted_packs, _confirm, "a long, b long", need=need, percent=percent))
-    linked = components(links).withColumnRenamed("node", "rep")
-    # stored, so that the join below is one of two plain shuffles, which Spark can split where many copies share a digest
-    group = stash(reps.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
+    linked = stash(components(links).withColumnRenamed("node", "rep").join(firsts.select(F.xxhash64("digest").alias("rep"), "first", "digest"), "rep"))
+    # stored, so that each join below is one of two plain shuffles, which Spark can split where many texts share a group or a digest
+    names = stash(linked.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("name")))
+    named = linked.join(names, "component").select("digest", "name")
+    group = stash(firsts.join(named, "digest", "left").select("digest", F.coalesce("name.first", "first").alias("component"), F.coalesce("name.digest", "digest").alias("head")))
+    out = sigs.select("doc_id", "n_shingles", "digest", "text_key").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "digest", "text_key", component.alias("component_id"), "head")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets. ``component_id`` is the smallest
+    doc_id reachable by links. Null or empty text: no shingles, linked with nothing, kept. Rows that repeat a doc_id and its text
+    give the same row as often as they occur; rows of one doc_id with different texts are judged each by its own text. Null doc_id:
+    component null and kept true, linked with nothing. Other columns of the input are ignored. An empty table gives an empty result.
+    """
+    out = _judge(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, tile_rows=tile_rows, tile_shingles=tile_shingles)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+    """Rows of ``docs``, one of each group of near copies: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text. Different texts under one doc_id all stay unless they are near copies; of near copies
+    under the smallest doc_id of their group one text stays, chosen by hashes. Rows that repeat doc_id and text stay once, with the
+    smallest of their other columns. Every row with a null doc_id stays.
+    """
+    judged = _judge(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, tile_rows=TILE_ROWS, tile_shingles=TILE_SHINGLES)
+    first = judged.where("doc_id = component_id and digest <=> head")
+    texts = first.groupBy("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("text_key")).alias("empty")).agg(F.min("text_key").alias("__key"))
+    chosen = texts.select(F.col("doc_id").alias("__id"), "__key")
+    rows = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__key", text_key(F.col(f"`{text_col}`")))
+    once = rows.join(chosen, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    return once.select("__row.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

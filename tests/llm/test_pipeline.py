@@ -32,6 +32,18 @@ def test_stages(spark, small):
     check_pieces(pieces, [r.text for r in clean.collect()])
 
 
+def test_near_dedup_decides_on_rows(spark):
+    one, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(3, one, 1), (5, other, 2), (5, one + " tail", 3), (5, other, 1), (6, third, 1), (6, third + " tail", 1), (7, "", 1), (7, None, 1), (7, "", 1), (8, "Four words of it", 1), (8, "four words  of it", 1), (None, one, 1), (None, one, 1), (None, third, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    six = [r for r in got if r[0] == 6]
+    eight = [r for r in got if r[0] == 8]
+    assert len(six) == len(eight) == 1 and six[0] in rows and eight[0] in rows
+    rest = sorted((r for r in got if r[0] not in (6, 8)), key=repr)
+    assert rest == sorted([(3, one, 1), (5, other, 1), (7, "", 1), (7, None, 1), (None, one, 1), (None, one, 1), (None, third, 1)], key=repr)
+
+
 def test_run(spark, small):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "MinHash near-dedup", "PII", "packing"]
     assert corpus_pipeline.run(spark, small).count() > 0
