@@ -47,11 +47,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a number is at most 255; zeros in front do not count, and no long number is ever converted."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def fits(kind: str, found: str) -> bool:
     """A kind's own test of what its pattern or the network found."""
     digits = DIGITS.sub("", found)
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
+        return all(_octet(p) for p in found.split("."))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -386,7 +392,7 @@ def add_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int,
 
 def _plausible(kind: str, found: str) -> bool:
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}([ .]+[0-9]{1,3}){3}", found)) and all(int(p) <= 255 for p in re.findall("[0-9]+", found))
+        return bool(re.fullmatch(r"[0-9]{1,3}([ .]+[0-9]{1,3}){3}", found)) and all(map(_octet, re.findall("[0-9]+", found)))
     if kind == "email":
         return bool(re.search(r"[A-Za-z0-9]\W*(@|at)\W*[A-Za-z0-9-]+\W*(\.|dot)\W*[A-Za-z]", found))
     if kind == "phone":

@@ -69,6 +69,12 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("9" * 200_000 + "x" * 200_000) == []
 
 
+def test_addresses_with_very_long_numbers():
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    zeros = "0" * 5000 + "7.1.255.1"
+    assert pii.base_spans(zeros) == [(0, len(zeros), 1)] and pii.base_spans("1.256.1.1 0256.1.1.1") == []
+
+
 def test_personal_data_of_documents(documents, odd, none):
     tagger = pii.fit(documents)
     for docs in (documents, odd):
