@@ -101,6 +101,23 @@ def test_personal_data_of_documents(documents, odd, none):
     assert found > 0.5 * wanted and extra < 0.05 * wanted
 
 
+def test_regions_reach_white_space():
+    assert [text[a:b] for text in ("x " * 30 + "y" * 64 + " (at) " + "z" * 255 + " (dot) com " + "w " * 90,) for a, b in pii.regions(text, [])][0].count("z") == 255
+    text = "word " * 9 + "a" * 50 + "7" + "b" * 50 + " word" * 9
+    assert ["a" * 50 + "7" + "b" * 50 in text[a:b] and text[a - 1] == text[b] == " " for a, b in pii.regions(text, [])] == [True]
+    assert pii.regions("a1 " * 20_000, []) == [(0, 60_000)] and pii.regions("1" * 50_000, []) == [(0, 50_000)]
+
+
+def test_long_spans_are_found_whole(documents):
+    tagger = pii.fit(documents)
+    for found in ("customer.support.international.department (at) example (dot) com", "a.name (at) the-long-name-of-a-very-large-company-of-sorts.example (dot) org"):
+        text = f"please write to {found} today"
+        assert pii.add_spans(tagger, [text], [[]])[0] == [(16, 16 + len(found), 0)]
+    rows = [(t, s) for t, s in pii.labelled_windows([r.text for r in documents.collect()], np.random.default_rng(99))[-900:] if s and s[0][1] - s[0][0] >= 40]
+    got = pii.add_spans(tagger, [t for t, _ in rows], [[] for _ in rows])
+    assert len(rows) > 50 and sum(set(s) <= set(g) for g, (_, s) in zip(got, rows, strict=True)) > 0.5 * len(rows)
+
+
 def test_language_on_held_out_documents(documents, odd, none):
     model = langid.fit(documents)
     rows = langid.with_language(documents, model).collect()
