@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of block elements; subtrees that are furniture by tag, role or class (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) are left out. Every block of text passes points for its length and its commas to its ancestors,
+notices, adverts, forms, comments) are left out. A class or id alone does not drop an element that holds ``main``, the page's
+largest article or nearly all of its text: such names also stand on wrappers. Every block of text passes points for its length and its commas to its ancestors,
 fewer with each level; an element's points are discounted by the share of its text that stands in links. The best element, its
 enclosing article if there is one, and siblings with enough points of their own are the main text.
 """
@@ -34,6 +35,8 @@ BONUS = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "
 SAME_LEVEL = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
 SAME_LEVEL_SETS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SAME_LEVEL.items()}
 LEVELS = 6
+#: Shares of a page's text outside links: an element with so much is no furniture by name, nor one around an article with so much.
+NEARLY_ALL, ARTICLE_SHARE = 0.8, 0.25
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -52,20 +55,45 @@ def is_furniture(tag: str, attributes: str) -> bool:
             return tag not in ("html", "body")
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in NEVER_BY_CLASS and any(p.lower() in CLASSES for p in NAME_PARTS.findall(value)):
-            return True
         if name in ("class", "id") and tag == "article" and re.search(r"comment|reply", value, re.I):
             return True
     return False
 
 
+def is_named_furniture(tag: str, attributes: str) -> bool:
+    """Whether a word of an element's class or id says that it is furniture."""
+    if tag in NEVER_BY_CLASS or not attributes or attributes.isspace():
+        return False
+    values = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return any(p.lower() in CLASSES for value in values for p in NAME_PARTS.findall(value))
+
+
 class Page:
     """Block elements of one page and its blocks of text, in page order."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped = ["#root"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.named = ["#root"], [-1], [False], [False]
         self.blocks: list[tuple[str, int, int, int]] = []  # text, element, characters in links, links
         self._parse(source)
+        if any(self.named):
+            self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drop what is furniture by name, except around the main text."""
+        n = len(self.tags)
+        free, holds = [0] * n, [tag == "main" and not out for tag, out in zip(self.tags, self.dropped, strict=True)]
+        for text, at, in_links, _ in self.blocks:
+            free[at] += len(text) - in_links
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            free[self.parents[i]] += free[i]
+        article = max((i for i in range(n) if self.tags[i] == "article" and not self.dropped[i]), key=lambda i: (free[i], -i), default=0)
+        holds[article] |= article > 0 and free[article] >= ARTICLE_SHARE * free[0]
+        for i in range(n - 1, 0, -1):
+            holds[self.parents[i]] |= holds[i]
+        for i in range(1, n):
+            named = self.named[i] and not holds[i] and free[i] < NEARLY_ALL * free[0]
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or named
+        self.blocks = [b for b in self.blocks if not self.dropped[b[1]]]
 
     def _parse(self, source: str) -> None:
         stack = [0]
@@ -129,6 +157,7 @@ class Page:
                     self.tags.append(tag)
                     self.parents.append(stack[-1])
                     self.dropped.append(self.dropped[stack[-1]] or is_furniture(tag, attributes))
+                    self.named.append(is_named_furniture(tag, attributes))
                     stack.append(len(self.tags) - 1)
                 elif tag in ("br", "img", "wbr", "input"):
                     run.append(" " if tag != "wbr" else "")

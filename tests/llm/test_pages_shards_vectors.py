@@ -27,6 +27,21 @@ def test_container_without_article():
     assert main_text(page).split("\n")[0] == "T" and "number 3" in main_text(page)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="container has-sidebar"', 'div class="layout-sidebar-right"', 'div id="page-header-fixed"', 'section class="no-comments"'])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_named_like_furniture(wrapper, inner):
+    body = "".join(f"<p>Sentence number {i}, with words, and more words to be long.</p>" for i in range(6))
+    side = '<div class="sidebar"><p>Side, text, with, many, commas, and words.</p></div><div class="related"><article><a href=x>Other</a></article></div>'
+    page = f"<body><div class=menu><a href=x>x</a></div><{wrapper}><{inner}>{body}</{inner}>{side}<section id=comments><p>Nice, really, nice, all of it.</p></section></{wrapper.split()[0]}></body>"
+    assert main_text(page) == "\n".join(f"Sentence number {i}, with words, and more words to be long." for i in range(6))
+
+
+def test_comments_longer_than_the_text_are_left_out():
+    text = "".join(f"<p>Sentence number {i}, with words, and more words to be long.</p>" for i in range(4))
+    comments = "".join(f"<p>Comment number {i}, with words, and more words to be long.</p>" for i in range(8))
+    assert "Comment" not in main_text(f"<body><div class=content>{text}</div><div class=comments>{comments}</div></body>")
+
+
 def test_given_pages(spark, small):
     rows = extract_pages(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert len(rows) == 50 and all(r.text and r.n_chars == len(r.text) and "track(" not in r.text and "©" not in r.text for r in rows)
