@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near-copies; different texts under one id are different rows, rows that repeat
+    """The row with the smallest id of each group of near-copies (similarity 0.85 or more of five-word shingles); different texts under one id are different rows, rows that repeat
     id and text stay once, and every row without an id stays."""
     return without_near_copies(docs).select(*docs.columns)
 
