@@ -4,7 +4,7 @@ Emission scores come from hashed features of a word (the word itself, affixes, c
 lexicon it belongs to); transition scores are learned with them. Forward-backward over overlapping windows gives every word's
 posterior, so code-switched text is labelled word by word. A document's language is the one with the largest mean posterior.
 
-The model learns from a bounded sample: at most ``TRAIN_DOCS`` documents a language, those with the smallest hash of their id among
+The model learns from a bounded sample: at most ``TRAIN_DOCS`` documents a language, those with the smallest hash of id and text among
 the documents of at most ``TRAIN_CHARS`` characters; at most ``TRAIN_WORDS`` of their words a language. Prediction reads every text whole.
 """
 
@@ -265,20 +265,31 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(lang, text) for _, lang, text in rows]))], pa.binary())], ["model"])
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on the bounded sample of labelled documents that are not held out, in one task; None if there are none."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model | None:
+    """Train in one task on at most ``train_docs`` documents a language that are labelled and not held out, those with the smallest
+    hash of id and text; None if there are none. The driver sees a count a language and the model."""
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_DOCS).select("lang", "text", "n").repartition(1)
+    order = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    limits = {r["lang"]: 1.5 * (train_docs + 100) / r["count"] for r in base.groupBy("lang").count().collect()}
+    if not limits:
+        return None
+    # texts above a limit that follows from their language's count are left out before any is moved
+    limit = F.create_map(*(F.lit(x) for lang, share in limits.items() for x in (lang, int((1 << 63) * min(share, 1 - 2**-53)))))
+    first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
+    near = base.withColumn("order", order).where(F.col("order") <= F.element_at(limit, F.col("lang")))
+    sample = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= train_docs).select("lang", "text", "n").repartition(1)
     models = map_arrow(sample, _train_task, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else None
 
 
 def with_language(docs: DataFrame, model: Model | None, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its mean posterior. Only the text is read. Null texts and texts without a letter
-    are ``und`` with score 0, and so is everything when nothing could be learned. Rows are judged one by one, repeats alike; other
+    are ``und`` with score 0, and so is everything when nothing could be learned. Of languages with equal posteriors the first by name counts. Rows are judged one by one, repeats alike; other
     columns pass through; an empty table stays empty."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.select(F.lit(0).alias("__n"), F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in docs.columns))
-    out = map_arrow(rows, _predict, f"{fields}, __lang_pred string, __score double", model=model)
-    return out.withColumnsRenamed({"__lang_pred": names[0], "__score": names[1]})
+    # columns travel under numbers, so that no name of the input can clash; a column called as a result is replaced
+    kept = [c for c in docs.columns if c not in names]
+    numbered = [f"c{i}" for i in range(len(kept))]
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(numbered, kept, strict=True))
+    rows = docs.select(F.lit(0).alias("__n"), F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`").alias(n) for n, c in zip(numbered, kept, strict=True)))
+    out = map_arrow(rows, _predict, f"{fields}__lang_pred string, __score double", model=model)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(numbered, kept, strict=True)), F.col("__lang_pred").alias(names[0]), F.col("__score").alias(names[1]))
