@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_alphabet
 from .shared import global_rank, map_arrow, pick, stash, text_list
 
 WINDOW = 4096
 STEP = 16
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 END_ID = 2
 #: A word and the marks after it, which no pre-token joins; letters whose lower case is one letter, whatever stands around it.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ňŋ-ſ]+)([!-/:-@\[-`{-~]*)")
@@ -33,7 +35,8 @@ class ChunkTokens:
     """Ids of space-delimited chunks as little-endian 32-bit bytes.
 
     For a tokenizer that lower-cases, drops white space and keeps letters, digits and marks apart, a text's ids are those of its
-    chunks in order, and a chunk's those of its word and of the marks after it.
+    chunks in order, and a chunk's those of its word and of the marks after it. Words and marks are one pre-token each: they go to
+    the vocabulary's merges as the characters that stand for their bytes. Other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -41,33 +44,48 @@ class ChunkTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        #: What was seen lately, and before that; a chunk looked up again moves to the first.
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
+    def _pretoken(self, part: str) -> bytes:
+        if not part:
+            return b""
         found = self.seen.get(part)
         if found is None:
-            found = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes() if part else b""
+            found = self.before.get(part)
+            if found is None:
+                known = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+                found = array("I", [t.id for t in self.merges.tokenize(known)]).tobytes()
             if len(part) <= 48:
                 self.seen[part] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        m = WORD_AND_MARKS.fullmatch(chunk)
-        found = self._part(m[1].lower()) + self._part(m[2]) if m else self._part(chunk)
+        found = self.before.get(chunk)
+        if found is None:
+            m = WORD_AND_MARKS.fullmatch(chunk)
+            if m:
+                found = self._pretoken(m[1].lower()) + self._pretoken(m[2])
+            else:
+                found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
         if len(chunk) <= 48:
             self.seen[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
+        if len(self.seen) > CACHE_CHUNKS:
+            self.seen, self.before = {}, self.seen
         seen = self.seen
-        if len(seen) > CACHE_CHUNKS:
-            seen.clear()
         words = text.replace("\n", " ").split(" ")
         out = list(map(seen.get, words))
         if None in out:
             for i, known in enumerate(out):
                 if known is None:
-                    out[i] = seen.get(words[i]) or self._chunk(words[i])
+                    known = seen.get(words[i])
+                    out[i] = self._chunk(words[i]) if known is None else known
         return b"".join(out)
 
 
