@@ -1,17 +1,20 @@
 """Exact byte-level BPE by dynamic programming over prefixes, and decoding.
 
 For every prefix of a pre-token there is one last token with which its encoding ends. It is the token that is a suffix of the
-prefix (all of them come from one pass of the vocabulary's suffix automaton) and is compatible with the last token of what comes
+prefix (all of them come from one pass of an Aho-Corasick automaton over the vocabulary, by its suffix links) and is compatible with the last token of what comes
 before: no merge across their border would have come first. Back-pointers from the end give the ids. Words and pre-tokens seen before are looked up; the tables that hold them are bounded.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,10 +22,14 @@ from tokenizers import Tokenizer
 
 from .shared import map_arrow, pick, text_list
 
-CACHE_CHUNKS = 500_000
-CACHE_PIECES = 300_000
+CACHE_CHUNKS = 400_000
+CACHE_PIECES = 400_000
 CACHE_PAIRS = 1_000_000
 _NEVER = 1 << 60
+#: What ``uneasy`` finds in ASCII texts, besides a space at the end.
+UNEASY = tuple(" " + c for c in " \t\n\v\f\r")
+#: A chunk of two pre-tokens at most: letters, with the space before them, and marks that no contraction begins with.
+WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,10 +58,6 @@ class PrefixEncoder:
             whole = self.ids[raw[left] + raw[right]]
             self.rank[a, b] = rank
             self.made.setdefault(whole, (a, b, rank))
-        self.automaton = ahocorasick.Automaton()
-        for b, i in self.ids.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
-        self.automaton.make_automaton()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         #: A space before white space or the end: only then may a cut at single spaces fall inside a pre-token.
@@ -62,8 +65,21 @@ class PrefixEncoder:
         self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[str, int, bytes]] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: Decimal ids of chunks and pre-tokens seen lately, and before that; what is looked up again moves to the first.
+        self.chunks: dict[str, str] = {}
+        self.chunks_before: dict[str, str] = {}
+        self.known: dict[str, str] = {}
+        self.known_before: dict[str, str] = {}
+        # tokens that their own bytes don't encode to end no prefix
+        self.automaton = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            if self.reachable(i):
+                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+        self.automaton.make_automaton()
+        last = max(self.bytes_of) + 1
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(last)], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.every_byte = np.frombuffer(b"".join([self.bytes_of.get(i, b"") for i in range(last)]), np.uint8)
         self.letters = {c: chr(b) for c, b in letters.items()}
         self.library = Tokenizer.from_file(path).pre_tokenizer
 
@@ -112,24 +128,20 @@ class PrefixEncoder:
     def encode_pretoken(self, data: str) -> list[int]:
         """Ids of one pre-token, given as one character a byte."""
         n = len(data)
-        tokens, sizes = [-1] * (n + 1), [0] * (n + 1)
-        pairs, whole = self.pairs, self.whole
+        tokens, sizes = [0] * (n + 1), [0] * (n + 1)  # of each prefix, the last token (shifted, as the first half of a pair) and its size
+        pairs, done = self.pairs, -1
         for at, (size, token) in self.automaton.iter(data):
-            end = at + 1
-            if sizes[end]:
+            if at == done:
                 continue
-            before = tokens[end - size]
-            if end != size:
-                if before < 0:
+            if at >= size:
+                before = tokens[at + 1 - size]
+                fits = pairs.get(before | token)
+                if not (self.compatible(before >> 20, token) if fits is None else fits):
                     continue
-                fits = pairs.get(before << 20 | token)
-                if not (self.compatible(before, token) if fits is None else fits):
-                    continue
-            if whole.get(token) or self.reachable(token):
-                tokens[end], sizes[end] = token, size
+            tokens[at + 1], sizes[at + 1], done = token << 20, size, at
         out = []
         while n:
-            out.append(tokens[n])
+            out.append(tokens[n] >> 20)
             n -= sizes[n]
         out.reverse()
         return out
@@ -144,37 +156,44 @@ class PrefixEncoder:
         letters = self.letters
         return ["".join([letters[c] for c in p]) for p, _ in self.library.pre_tokenize_str(text)]
 
-    def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        known, out = self.known, []
+    def _piece(self, piece: str) -> str:
+        """Decimal ids of one pre-token."""
+        found = self.known.get(piece)
+        if found is None:
+            found = self.known_before.get(piece)
+            if found is None:
+                found = ",".join(map(str, self.encode_pretoken(piece)))
+            if len(piece) <= 64:
+                if len(self.known) > CACHE_PIECES:
+                    self.known, self.known_before = {}, self.known
+                self.known[piece] = found
+        return found
+
+    def _chunk(self, chunk: str) -> str:
+        m = WORD_AND_MARKS.fullmatch(chunk)
+        if m:
+            if not chunk.isascii():
+                return f"{self._piece(m[1].encode().decode('latin-1'))},{self._piece(m[2])}" if m[2] else self._piece(m[1].encode().decode("latin-1"))
+            return f"{self._piece(m[1])},{self._piece(m[2])}" if m[2] else self._piece(m[1])
         if self.special_split and "<" in chunk:
             parts = [p for p in self.special_split.split(chunk) if p]
         else:
             parts = [chunk]
+        out = []
         for part in parts:
             if part in self.special:
-                out.append((str(self.special[part]), 1, part.encode()))
-                continue
-            for piece in self.pieces(part):
-                found = known.get(piece)
-                if found is None:
-                    ids = self.encode_pretoken(piece)
-                    found = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
-                    if len(piece) <= 64:
-                        if len(known) > CACHE_PIECES:
-                            known.clear()
-                        known[piece] = found
-                out.append(found)
-        if len(out) == 1:
-            return out[0]
-        return ",".join([x[0] for x in out]), sum([x[1] for x in out]), b"".join([x[2] for x in out])
-
-    def chunked(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(decimal ids, count, bytes) of consecutive parts of a text, cut at single spaces between words where that is safe."""
-        if self.uneasy.search(text) or "<|" in text:
+                out.append(str(self.special[part]))
+            else:
+                out += map(self._piece, self.pieces(part))
+        return ",".join(out)
+
+    def chunked(self, text: str) -> list[str]:
+        """Decimal ids of consecutive parts of a text, cut at single spaces between words where that is safe."""
+        if (any(map(text.__contains__, UNEASY)) or text.endswith(" ") if text.isascii() else self.uneasy.search(text)) or "<|" in text:
             return [self._chunk(text)] if text else []
-        chunks = self.chunks
-        if len(chunks) > CACHE_CHUNKS:
-            chunks.clear()
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks, self.chunks_before = {}, self.chunks
+        chunks, before = self.chunks, self.chunks_before
         words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self._cut(text)
         if not words[0]:
             del words[0]
@@ -183,7 +202,7 @@ class PrefixEncoder:
             for i, found in enumerate(out):
                 if found is None:
                     w = words[i]
-                    out[i] = found = chunks.get(w) or self._chunk(w)
+                    out[i] = found = chunks.get(w) or before.get(w) or self._chunk(w)
                     if len(w) <= 48:
                         chunks[w] = found
         return out
@@ -194,10 +213,16 @@ class PrefixEncoder:
         return [first, *[" " + w for w in rest]]
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part, _, _ in self.chunked(text) if part for x in part.split(",")]
+        return [int(x) for part in self.chunked(text) for x in part.split(",")]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids if i in self.bytes_of).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """What the library's decode gives: the tokens' bytes as UTF-8, malformed ones replaced."""
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)
+        return self.every_byte[place].tobytes().decode("utf-8", "replace")
 
 
 _encoders: dict[str, PrefixEncoder] = {}
@@ -207,6 +232,7 @@ def encoder(path: str) -> PrefixEncoder:
     """One encoder a worker process and vocabulary."""
     if path not in _encoders:
         _encoders[path] = PrefixEncoder(path)
+        gc.freeze()  # tables of many small objects that stay: no later pass of the collector needs to visit them
     return _encoders[path]
 
 
@@ -216,14 +242,13 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, keep_ids: bool) ->
         counts, digests, decoded, lists = [], [], [], []
         for text in text_list(batch.column(1)):
             parts = enc.chunked(text)
-            joined = ",".join([p[0] for p in parts])
-            counts.append(sum([p[1] for p in parts]))
+            joined = ",".join(parts)
+            ids = np.fromstring(joined, np.int64, sep=",") if joined else np.empty(0, np.int64)
+            counts.append(len(ids))
             digests.append(hashlib.sha256(joined.encode()).hexdigest())
-            data = b"".join([p[2] for p in parts])
-            back = data.decode("utf-8", "replace")
-            decoded.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+            decoded.append(hashlib.sha256(enc.decode(ids).encode("utf-8")).hexdigest())
             if keep_ids:
-                lists.append([int(x) for x in joined.split(",")] if joined else [])
+                lists.append(ids)
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
