@@ -22,9 +22,10 @@ def slug(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A string whose plain order is natural order: digit runs padded, letters in lower case."""
+    """A string whose plain order is natural order: digit runs, without leading zeros, come after their
+    length (so numbers of any size compare right), letters in lower case."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 8, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(F.regexp_replace(x, "^0+(?=.)", "")).cast("string"), 8, "0"), F.regexp_replace(x, "^0+(?=.)", ""))).otherwise(x)), "")
 
 
 def leading_int(c: Column) -> Column:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST = 200
+# The caps of the reference, for callers who want its very results; without them any total is solved.
+CAP_EXACT, CAP_CLOSEST = 200, 220
 
 
 def _reach(marks: list[int], most: int, stop_at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -41,23 +42,24 @@ def _walk(marks: list[int], first: np.ndarray, total: int) -> list[int]:
     return out[::-1]
 
 
-def exact_subset(marks: list[int], target: int) -> list[int] | None:
-    """Places of items that add up to ``target`` exactly, each used once; None if there are none. Targets above 200 count as 200."""
+def exact_subset(marks: list[int], target: int, cap: int | None = None) -> list[int] | None:
+    """Places of items that add up to ``target`` exactly, each used once; None if there are none. Targets above ``cap``, where
+    one is given, count as it."""
     if target == 0:
         return []
-    most = min(LONGEST, target)
+    most = target if cap is None else min(cap, target)
     if most <= 0 or not marks:
         return None
     open_, first = _reach(marks, most, most)
     return _walk(marks, first, most) if open_[most] else None
 
 
-def closest_subset(marks: list[int], target: int) -> list[int]:
-    """Exact if it can be; else the nearest sum up to min(220, target + 12), the lower of two; everything if that is too little; the
+def closest_subset(marks: list[int], target: int, cap: int | None = None, cap_exact: int | None = None) -> list[int]:
+    """Exact if it can be; else the nearest sum up to target + 12 (and ``cap``), the lower of two; everything if that is too little; the
     first item if nothing is in reach."""
     if target <= 0 or not marks:
         return []
-    found = exact_subset(marks, target)
+    found = exact_subset(marks, target, cap_exact)
     if found is not None:
         return found
     usable = [i for i, m in enumerate(marks) if m > 0]
@@ -66,7 +68,7 @@ def closest_subset(marks: list[int], target: int) -> list[int]:
     values = [marks[i] for i in usable]
     if sum(values) <= target:
         return usable
-    open_, first = _reach(values, min(220, target + 12))
+    open_, first = _reach(values, target + 12 if cap is None else min(cap, target + 12))
     sums = np.flatnonzero(open_[1:]) + 1
     if not len(sums):
         return [usable[0]]
@@ -111,7 +113,8 @@ def assemble(pool: pd.DataFrame, target: int, mcq_share: float) -> tuple[list[in
     buffer = min(18, max(6, wanted // 4))
     done += deal(theory, wanted - 4, wanted - buffer)
     if done < target:
-        rest = sorted((i for i in theory if i not in set(chosen)), key=lambda i: (usage[paper[i]], order[i]))
+        taken = set(chosen)
+        rest = sorted((i for i in theory if i not in taken), key=lambda i: (usage[paper[i]], order[i]))
         chosen += [rest[j] for j in closest_subset([marks[i] for i in rest], target - done)]
     total = sum(marks[i] for i in chosen)
     if total != target:

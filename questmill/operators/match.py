@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,15 @@ def asof_join(events: DataFrame, anchors: DataFrame, by: list[str], order: str,
 
 def nearest_join(left: DataFrame, right: DataFrame, by: list[str], position: str, value: str, band: float) -> DataFrame:
     """The right row with the smallest distance within ``band``; ties take the smaller position. Positions are cut into cells of the
-    band's width, so each left row meets three cells and never the whole group."""
+    band's width, so each left row meets three cells and never the whole group. Rows with
+    nulls, and repeated ones, keep their match."""
     r = right.select(*by, F.floor(F.col(position) / band).alias("__cell"), F.col(position).alias("__p"), F.col(value).alias(value))
     near = left.withColumn("__cell", F.explode(F.array(*(F.floor(F.col(position) / band) + d for d in (-1, 0, 1)))))
     hit = near.join(r, [*by, "__cell"]).where(F.abs(F.col("__p") - F.col(position)) <= band)
-    best = hit.groupBy(*left.columns).agg(F.min(F.struct(F.abs(F.col("__p") - F.col(position)).alias("d"), F.col("__p"), F.col(value))).alias("m"))
-    return left.join(best.select(*left.columns, F.col(f"m.{value}").alias(value), F.col("m.d").alias("distance")), left.columns, "left")
+    best = hit.groupBy(*left.columns).agg(F.min(F.struct(F.abs(F.col("__p") - F.col(position)).alias("d"), F.col("__p"), F.col(value))).alias("__m"))
+    same = reduce(lambda x, y: x & y, (left[c].eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(left.columns)))
+    best = best.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(left.columns)), F.col(f"__m.{value}").alias("__v"), F.col("__m.d").alias("distance"))
+    return left.join(best, same, "left").select(*(left[c] for c in left.columns), F.col("__v").alias(value), "distance")
 
 
 def contained_join(points: DataFrame, ranges: DataFrame, by: list[str], low: Column, high: Column, at: Column) -> DataFrame:

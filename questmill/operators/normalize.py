@@ -25,7 +25,7 @@ def normalize(raw: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     subs = F.when(F.size("subtopics") > 0, c("subtopics")).when(F.nullif("subtopic", F.lit("")).isNotNull(), F.array("subtopic")).otherwise(F.array().cast("array<string>"))
     main = first_text(c("mainSubtopic"), c("subtopic"), F.get(subs, F.lit(0)), F.lit("General"))
     topic = first_text(c("mainTopic"), c("topic"), F.lit("General"))
-    related = F.coalesce("relatedSubtopics", F.slice(subs, 2, 1000))
+    related = F.coalesce("relatedSubtopics", F.slice(subs, 2, F.greatest(F.size(subs) - 1, F.lit(0))))
     marks = F.coalesce(c("marks"), c("total_marks"), F.lit("1")).try_cast("double")
     year = F.nullif(c("year").try_cast("int"), F.lit(0))
     out = df.select(
@@ -53,7 +53,7 @@ def normalize(raw: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     out = out.withColumns({x: F.when(c(x) == "\u0000", "").otherwise(c(x)) for x in ("paperId", "unit", "unitCode", "series", "subPart", "questionImagePath")})
     if valid is not None:
         legal = valid.groupBy("unit").agg(F.collect_set("subtopic").alias("__legal"))
-        out = out.join(F.broadcast(legal), "unit", "left").withColumn("relatedSubtopics", F.array_intersect("relatedSubtopics", F.coalesce("__legal", F.array().cast("array<string>")))).drop("__legal")
+        out = out.join(legal, "unit", "left").withColumn("relatedSubtopics", F.array_intersect("relatedSubtopics", F.coalesce("__legal", F.array().cast("array<string>")))).drop("__legal")
     return out.withColumn("subtopics", F.array_distinct(F.concat(F.array("mainSubtopic"), "relatedSubtopics")))
 
 

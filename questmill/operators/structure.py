@@ -162,7 +162,7 @@ def split_by_cache(items: DataFrame, cache: DataFrame, legal: DataFrame) -> tupl
 def repair(items: DataFrame, legal: DataFrame) -> DataFrame:
     """Labels that are not legal in their unit become the unit's first."""
     first = legal.groupBy("unit").agg(F.min("label").alias("__first"))
-    ok = items.join(F.broadcast(legal.withColumn("__ok", F.lit(True))), ["unit", "label"], "left").join(F.broadcast(first), "unit", "left")
+    ok = items.join(legal.withColumn("__ok", F.lit(True)), ["unit", "label"], "left").join(first, "unit", "left")
     return ok.withColumn("label", F.when(F.col("__ok"), F.col("label")).otherwise(F.coalesce("__first", F.col("label")))).drop("__ok", "__first")
 
 

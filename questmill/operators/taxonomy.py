@@ -55,6 +55,6 @@ def promote(generic: Column) -> Rule:
 
     def rule(main: Column, related: Column) -> tuple[Column, Column]:
         moved = generic & (F.size(related) > 0)
-        return F.when(moved, F.get(related, F.lit(0))).otherwise(main), F.when(moved, F.concat(F.slice(related, 2, 100), F.array(main))).otherwise(related)
+        return F.when(moved, F.get(related, F.lit(0))).otherwise(main), F.when(moved, F.concat(F.slice(related, 2, F.greatest(F.size(related) - 1, F.lit(0))), F.array(main))).otherwise(related)
 
     return rule

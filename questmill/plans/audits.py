@@ -61,8 +61,9 @@ def q_first_of_group(spark, sf_dir):
 
 @query(f"WITH {Q} SELECT unit, round(count(*) FILTER (subtopic = least_) * 100.0 / count(*), 2)::DOUBLE AS share FROM (SELECT *, min(subtopic) OVER () AS least_ FROM q) GROUP BY unit")
 def q_first_bucket_share(spark, sf_dir):
-    least = table(spark, sf_dir, "part").join(lines(spark, sf_dir).select(F.col("part").alias("p_partkey")), "p_partkey", "left_semi").agg(F.min("p_type").alias("v")).first()["v"]
-    out = questions(spark, sf_dir).groupBy("unit").agg(F.count_if(F.col("subtopic") == least).alias("k"), many().alias("n"))
+    least = table(spark, sf_dir, "part").join(lines(spark, sf_dir).select(F.col("part").alias("p_partkey")), "p_partkey", "left_semi").agg(F.min("p_type").alias("least"))
+    counts = questions(spark, sf_dir).groupBy("unit", "subtopic").agg(many().alias("n"))
+    out = counts.join(least, F.col("subtopic") == F.col("least"), "left").groupBy("unit").agg(F.sum(F.when(F.col("least").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n"))
     return out.select("unit", F.round(F.col("k") * 100.0 / F.col("n"), 2).cast("double").alias("share"))
 
 

@@ -21,7 +21,7 @@ def q_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", keys.slug(F.col("url")).alias("slug"))
 
 
-@query(r"""SELECT p_brand AS topic, p_partkey AS part, row_number() OVER (PARTITION BY p_brand ORDER BY array_to_string(list_transform(regexp_extract_all(lower('Q' || p_size || '(' || p_type || ')'), '(\d+|\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 8, '0') ELSE x END), ''), p_partkey) AS place FROM part""")
+@query(r"""SELECT p_brand AS topic, p_partkey AS part, row_number() OVER (PARTITION BY p_brand ORDER BY array_to_string(list_transform(regexp_extract_all(lower('Q' || p_size || '(' || p_type || ')'), '(\d+|\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\1')) AS VARCHAR), 8, '0') || regexp_replace(x, '^0+(.)', '\1') ELSE x END), ''), p_partkey) AS place FROM part""")
 def q_natural_sort(spark, sf_dir):
     from pyspark.sql import Window
 

@@ -49,7 +49,8 @@ def merge_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[st
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The newest state; the version column tells which."""
-    versions = spark.read.parquet(target)
-    newest = versions.agg(F.max("version").alias("v")).first()["v"]
-    return versions.where(F.col("version") == newest)
+    """The newest complete state: the largest version whose folder was committed; a write that was cut short is passed over."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, "version=*/_SUCCESS"))
+    newest = max(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+    return spark.read.parquet(f"{target}/version={newest}").withColumn("version", F.lit(newest))
