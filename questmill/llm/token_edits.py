@@ -1,7 +1,8 @@
 """Token counts that follow edits.
 
 A document's pre-token counts are the leaves of a segment tree. An edit replaces a stretch of code points; only the pre-tokens it
-touches, and a little of what stands around them, are cut and encoded again, and the sums above them are updated.
+touches, and a little of what stands around them, are cut and encoded again, and the sums above them are updated. Trees can be stored
+(``plant_trees``) and edited later (``edit_trees``).
 """
 
 from __future__ import annotations
@@ -68,15 +69,19 @@ class TokenTree:
     """Counts of a text's chunks, in leaves of about ``LEAF`` chunks, under a tree of sums. Leaves hold the text itself."""
 
     def __init__(self, text: str, counter: ChunkCounter, leaf: int = LEAF):
-        self.counter, self.encoded = counter, len(text)
+        self.counter, self.encoded, self.leaf = counter, len(text), leaf
         chunks = counter.cut(text)
         starts = np.arange(0, len(chunks), leaf)
         self.texts = ["".join(chunks[i : i + leaf]) for i in starts] or [""]
         self._plant(np.add.reduceat(np.array(counter.counts(chunks), np.int64), starts) if chunks else np.zeros(1, np.int64))
 
-    def _count(self, text: str) -> int:
-        self.encoded += len(text)
-        return sum(self.counter.counts(self.counter.cut(text)))
+    @classmethod
+    def kept(cls, texts: list[str], counts: list[int], counter: ChunkCounter, leaf: int = LEAF) -> TokenTree:
+        """A tree from its stored leaves; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded, tree.leaf, tree.texts = counter, 0, leaf, list(texts) or [""]
+        tree._plant(np.array(list(counts) or [0], np.int64))
+        return tree
 
     def _plant(self, counts: np.ndarray) -> None:
         """Levels of sums, each half as long as the one below; lengths of the leaves likewise, to find a position."""
@@ -112,7 +117,8 @@ class TokenTree:
         """Replace code points [start, end) by ``new``.
 
         The touched leaves are joined and encoded again, with as many neighbours as it takes for the stretch to begin and end at a
-        safe cut (the boundary context); emptied leaves stay as empty ones, so the tree keeps its shape.
+        safe cut (the boundary context). The new chunks go into these leaves; leaves left over stay as empty ones, and where there are
+        too few, new ones are planted, so no leaf outgrows its size.
         """
         first, at = self._find(start)
         last, stop = self._find(max(start, end - 1))
@@ -124,9 +130,18 @@ class TokenTree:
         while last + 1 < len(self.texts) and not self._safe_after(text, last + 1):
             last += 1
             text += self.texts[last]
-        for leaf in range(first, last + 1):
-            self.texts[leaf] = text if leaf == first else ""
-            self.counts[0][leaf] = self._count(text) if leaf == first else 0
+        chunks = self.counter.cut(text)
+        self.encoded += len(text)
+        starts = range(0, len(chunks), self.leaf)
+        texts = ["".join(chunks[i : i + self.leaf]) for i in starts]
+        counts = [sum(self.counter.counts(chunks[i : i + self.leaf])) for i in starts]
+        spare = last + 1 - first - len(texts)
+        if spare < 0:  # more than the touched leaves hold: new leaves, and the sums above them anew; no other leaf is encoded
+            self.texts[first : last + 1] = texts
+            self._plant(np.concatenate([self.counts[0][:first], np.array(counts, np.int64), self.counts[0][last + 1 :]]))
+            return
+        for leaf, (t, n) in enumerate(zip(texts + [""] * spare, counts + [0] * spare, strict=True), first):
+            self.texts[leaf], self.counts[0][leaf] = t, n
             self._update(leaf)
 
     def _safe(self, before: int, text: str) -> bool:
@@ -172,6 +187,49 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str, rule: Callable[[str],
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars", "n_chars_encoded_again"])
 
 
+def _plant_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    counter = _counters.get(path) or _counters.setdefault(path, ChunkCounter(path))
+    for batch in batches:
+        trees = [TokenTree(t, counter) for t in text_list(batch.column(1))]
+        yield _tree_batch(batch.column(0), trees, [0] * len(trees))
+
+
+def _edit_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    counter = _counters.get(path) or _counters.setdefault(path, ChunkCounter(path))
+    for batch in batches:
+        trees = []
+        for texts, counts, edits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            tree = TokenTree.kept(texts or [], counts or [], counter)
+            size = sum(map(len, tree.texts))
+            for e in sorted(edits or [], key=lambda e: (e["start"], e["end"]), reverse=True):
+                lo = min(max(e["start"], 0), size)
+                tree.edit(lo, min(max(e["end"], lo), size), e["new"] or "")
+            trees.append(tree)
+        yield _tree_batch(batch.column(0), trees, [t.encoded for t in trees])
+
+
+def _tree_batch(ids: pa.Array, trees: list[TokenTree], again: list[int]) -> pa.RecordBatch:
+    columns = [ids, pa.array([t.texts for t in trees], pa.list_(pa.string())), pa.array([t.counts[0].tolist() for t in trees], pa.list_(pa.int64())), pa.array([t.total for t in trees], pa.int64()), pa.array(again, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "leaves", "counts", "n_tokens", "n_chars_encoded_again"])
+
+
+TREE = "doc_id long, leaves array<string>, counts array<bigint>, n_tokens long, n_chars_encoded_again long"
+
+
+def plant_trees(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's tree as a row to be stored: (doc_id, leaves, counts, n_tokens, n_chars_encoded_again = 0). The leaves' texts joined
+    are the document. Null text: one empty leaf. One row per input row, repeats included; an empty table gives none."""
+    base = pick(docs, doc_id=id_col, text=text_col)
+    return map_arrow(base.withColumn("doc_id", F.col("doc_id").cast("long")), _plant_rows, TREE, path=vocabulary)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str) -> DataFrame:
+    """Stored trees after ``edits`` (doc_id, edits: array<struct<start, end, new>> in code points, not overlapping): the leaves that
+    are touched are encoded again, with their boundary context, and nothing else. Documents without edits stay as they are."""
+    both = trees.select("doc_id", "leaves", "counts").join(edits.select("doc_id", "edits"), "doc_id", "left")
+    return map_arrow(both, _edit_rows, TREE, path=vocabulary)
+
+
 def count_edited(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, rule: Callable[[str], list] | None = repeated_lines) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_edited, n_chars, n_chars_encoded_again): counts before and after each row's edits.
 

@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 from questmill.llm.bpe import PrefixEncoder, encode_documents
 from questmill.llm.packing import ChunkTokens, combinations, nnls, pack_documents, plan
 from questmill.llm.shared import vocabulary
-from questmill.llm.token_edits import ChunkCounter, TokenTree, count_edited, repeated_lines
+from questmill.llm.shared import stash
+from questmill.llm.token_edits import ChunkCounter, TokenTree, count_edited, edit_trees, plant_trees, repeated_lines
 
 PARTS = ["  ", "\n", " ", "\t", "a", "the", " The", "'s", "é", "日本", "🙂", "123", "<|endoftext|>", "\x1c", "\x85", "!!", "aaaaaaaa", "　", "ab" * 30, "don't", "Word,", "İ,", "ŉ.", "Σ", "́", "\x00", "ԙ", "՘"]
 
@@ -147,3 +148,31 @@ def test_count_edited(documents, odd, none, spark, library):
     given = spark.createDataFrame([(1, "one two three four", [(4, 7, "twenty two"), (100, 200, "!")]), (2, None, None)], "doc_id long, text string, edits array<struct<start:int,end:int,new:string>>")
     a, b = sorted(count_edited(given, vocabulary("byte_bpe_50k.json"), edits_col="edits").collect())
     assert a.n_tokens_edited == n("one twenty two three four!") and b.n_tokens == b.n_edits == 0
+
+
+def test_stored_trees_take_edits(spark, odd, none, library):
+    path = vocabulary("byte_bpe_50k.json")
+    planted = stash(plant_trees(odd.where("doc_id is not null and doc_id <> 5"), path))
+    text = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in planted.collect():
+        assert "".join(r.leaves) == text[r.doc_id] and r.n_tokens == sum(r.counts) == len(library.encode(text[r.doc_id], add_special_tokens=False).ids)
+    edits = spark.createDataFrame([(7, [(10, 25, "new words here"), (100, 100, " put in")]), (9, [(0, 2, "")])], "doc_id long, edits array<struct<start: int, end: int, new: string>>")
+    want = dict(text)
+    for i, e in ((7, [(100, 100, " put in"), (10, 25, "new words here")]), (9, [(0, 2, "")])):
+        for a, b, new in e:
+            want[i] = want[i][:a] + new + want[i][b:]
+    edited = edit_trees(planted, edits, path).collect()
+    assert len(edited) == planted.count()
+    for r in edited:
+        assert "".join(r.leaves) == want[r.doc_id] and r.n_tokens == len(library.encode(want[r.doc_id], add_special_tokens=False).ids)
+        assert r.n_chars_encoded_again < 3000 and (r.n_chars_encoded_again > 0) == (r.doc_id in (7, 9))
+    assert plant_trees(none, path).collect() == [] and edit_trees(planted.limit(0), edits, path).collect() == []
+
+
+def test_leaves_do_not_outgrow_their_size():
+    counter = ChunkCounter(vocabulary("byte_bpe_50k.json"))
+    tree = TokenTree(" ".join(f"w{i}" for i in range(200)), counter, leaf=8)
+    for k in range(60):
+        tree.edit(20, 20, f" more and more {k}")
+    assert max(len(counter.cut(t)) for t in tree.texts) <= 8
+    assert tree.total == sum(counter.counts(counter.cut(tree.text)))
