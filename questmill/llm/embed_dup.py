@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import Forest, groups, spread
-from .shared import components, global_rank, map_arrow, pick, stash
+from .shared import components, global_rank, map_arrow, pick, sample_rows, stash
 
 BLOCK = 2048
 LEAD = 4
 STEP = 8
+#: Vectors that the axes are fitted on, at most.
+SAMPLE = 20_000
 MARGIN = 1e-7
 
 
@@ -35,28 +37,32 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for v in batch.column(0).to_pylist():
-            x = np.array(v)
-            x /= np.abs(x).max()
-            x /= np.linalg.norm(x)
+            x = _unit(np.array(v))
             sums.setdefault(len(x), np.zeros((len(x), len(x))))
             sums[len(x)] += np.outer(x, x)
     for d, m in sums.items():
-        i, j = np.divmod(np.arange(d * d), d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i), pa.array(j), pa.array(m.ravel())], ["dim", "i", "j", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([m.tobytes()], pa.binary())], ["dim", "moments"])
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Columns by falling variance about the origin, for each dimension that occurs; d * d sums reach the driver."""
+def principal_axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Columns by falling variance about the origin, for each dimension that occurs in ``sample`` vectors chosen by a hash.
+
+    Any orthonormal basis gives the same links; a basis that fits only makes the comparisons stop earlier. One task sums the
+    moments of the sample; one matrix a dimension reaches the driver.
+    """
     axes: dict[int, np.ndarray] = {}
-    rows = map_arrow(vectors.select("vector"), _moments, "dim long, i long, j long, value double").groupBy("dim", "i", "j").agg(F.sum("value").alias("value")).collect()
+    rows = map_arrow(sample_rows(vectors.select("rep", "vector"), sample, "rep", "vector").select("vector").repartition(1), _moments, "dim long, moments binary").collect()
     for r in rows:
-        axes.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["i"], r["j"]] = r["value"]
-    for d, m in axes.items():
-        _, vectors_ = np.linalg.eigh((m + m.T) / 2)
-        axes[d] = vectors_[:, ::-1]
+        m = np.frombuffer(r["moments"]).reshape(r["dim"], r["dim"])
+        axes[r["dim"]] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
     return axes
 
 
+def _basis(axes: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """The axes of a dimension; those of the components themselves where the sample had none of it."""
+    return axes[dim] if dim in axes else axes.setdefault(dim, np.eye(dim))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(-1, keepdims=True)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -67,7 +73,7 @@ def _turn(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray]) -> Ite
         vectors = [np.array(v) for v in batch.column(3).to_pylist()]
         lead = np.zeros((len(vectors), LEAD))
         for i, v in enumerate(vectors):
-            turned = _unit(v) @ axes[len(v)]
+            turned = _unit(v) @ _basis(axes, len(v))
             lead[i, : min(LEAD, len(v))] = turned[:LEAD]
         names = ["rep", "label", "many", "dim", "raw", *(f"p{k}" for k in range(LEAD))]
         data = [*batch.columns[:3], pa.array([len(v) for v in vectors], pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary()), *(pa.array(lead[:, k]) for k in range(LEAD))]
@@ -125,7 +131,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], thres
         forest, links = Forest(len(rep)), np.zeros(len(rep), np.int64)
         for lo in range(0, len(left), 512):
             rows = left[lo : lo + 512]
-            linked = _links(x[rows], x[right], axes[x.shape[1]], threshold)
+            linked = _links(x[rows], x[right], _basis(axes, x.shape[1]), threshold)
             if same:
                 linked[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = False
             links[rows] += linked @ many[right]
@@ -141,7 +147,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], axes: dict[int, np.ndarray], thres
 def similar_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
-    Rows are compared when their labels are equal and not null and their vectors have the same length. Null, zero or non-finite
+    Rows are compared when their labels, of whatever type, are equal and not null and their vectors have the same length. Null, zero or non-finite
     vectors link with nothing. ``n_links`` counts the other rows linked directly, equal vectors and repeated rows included;
     ``component_id`` is the smallest vec_id reachable. Null vec_id: counted among the links of others only if its vector equals
     theirs; component null. Other columns are ignored; an empty table gives none.
@@ -150,7 +156,7 @@ def similar_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
     base = base.withColumn("vector", F.when(usable(F.col("vector")) & F.col("label").isNotNull(), F.transform("vector", lambda x: x + F.lit(0.0))))
     reps = stash(base.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")).where("rep is not null"))
     axes = principal_axes(reps)
-    turned = map_arrow(reps.select("rep", F.col("label").cast("long"), "many", "vector"), _turn, f"rep long, label long, many long, dim long, raw binary, {', '.join(f'p{k} double' for k in range(LEAD))}", axes=axes)
+    turned = map_arrow(reps.select("rep", F.col("label").cast("string"), "many", "vector"), _turn, f"rep long, label string, many long, dim long, raw binary, {', '.join(f'p{k} double' for k in range(LEAD))}", axes=axes)
     ranked = stash(global_rank(turned, ["label", "dim", "p0", "rep"]).withColumn("block", F.expr(f"rank div {block}")))
     boxes = ranked.groupBy("label", "dim", "block").agg(*(f(f"p{k}").alias(f"{n}{k}") for k in range(LEAD) for n, f in (("lo", F.min), ("hi", F.max))))
     far = boxes.select("label", "dim", F.col("block").alias("tj"), *(F.col(f"{n}{k}").alias(f"{n}{k}_") for k in range(LEAD) for n in ("lo", "hi")))
@@ -165,6 +171,7 @@ def similar_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     whole = reps.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = base.join(whole, ["label", "vector"], "left")
+    # stored, so that the join is one plain shuffle of the rows, which Spark can split where many rows hold one vector
+    out = base.join(stash(whole), ["label", "vector"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -108,3 +108,31 @@ def test_similar_vectors_equal_brute_force(spark):
         got = similar_vectors(frame, block=block).collect()
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(rows)
     assert similar_vectors(frame.limit(0)).collect() == []
+
+
+def test_shards_keep_every_row_and_copies_together(spark, tmp_path):
+    rows = [(i, f"text {i} " + "x" * (i % 50), "src", "en") for i in range(1000)]
+    rows += [(i * 97, "the same words in many places", f"src{i % 5}", ("en", None)[i % 2]) for i in range(10)]
+    rows += [(None, "no id", None, None), (None, "no id", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    write_shards(docs, str(tmp_path / "out"))
+    back = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*docs.columns).collect()]
+    assert sorted(back, key=repr) == sorted(rows, key=repr)
+    placed = hilbert_shards(docs).collect()
+    same = sorted((r.shard, r.slot) for r in placed if r.size == 30 and r.text_crc32 == zlib.crc32(b"the same words in many places"))
+    sizes = {s: sum(r.shard == s for r in placed) for s in range(8)}
+    gaps = [(b[1] - a[1] == 1) if a[0] == b[0] else (b[0] == a[0] + 1 and b[1] == 0 and a[1] == sizes[a[0]] - 1) for a, b in zip(same, same[1:], strict=False)]
+    assert len(same) == 10 and all(gaps)
+    with pytest.raises(ValueError):
+        write_shards(docs.withColumnRenamed("lang", "shard"), str(tmp_path / "no"), lang_col="source")
+
+
+def test_labels_of_any_type(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1.2), (2, v, 1.7), (3, v, 1.2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+    near = [1.0, 2.0, 3.01]
+    rows = [(1, v, "a"), (2, near, "a"), (3, v, "b"), (4, near, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
