@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every node can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         found = tempfile.mkdtemp(prefix="questmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
