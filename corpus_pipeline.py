@@ -17,30 +17,33 @@ LEAST_SHARE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio. Null and empty texts go; rows are judged one by one, repeats alike;
+    columns of any name pass through; an empty table stays empty."""
     judged = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="__quality")
     return judged.where("__quality.kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a learned language that at least two words in five belong to."""
+    """Documents with a learned language that at least two words in five belong to. Texts without a letter go, as do all where no row is
+    labelled; rows are judged one by one; columns of any name pass through."""
     judged = with_language(docs, langid.fit(docs), names=("__lang", "__share"))
     return judged.where((F.col("__lang") != "und") & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near-copies (similarity 0.85 or more of five-word shingles); different texts under one id are different rows, rows that repeat
-    id and text stay once, and every row without an id stays."""
+    """The row with the smallest id of each group of near-copies (similarity 0.8 or more of five-word shingles); different texts under
+    one id are different rows, rows that repeat id and text stay once, and every row without an id stays. Null and empty texts are no
+    copies of one another."""
     return without_near_copies(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; character counts follow."""
+    """Personal data replaced by its kind; character counts follow. Null texts stay null; rows and other columns as they are."""
     return pii.redact_documents(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; a null or empty text is one piece of the end id alone."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
