@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of block elements; subtrees that are furniture by tag, role or class (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) are left out. A class or id alone does not drop an element that holds ``main``, the page's
+notices, adverts, forms, comments) are left out; a header inside an article is the article's own and stays. A class or id alone does not drop an element that holds ``main``, the page's
 largest article or nearly all of its text: such names also stand on wrappers. Every block of text passes points for its length and its commas to its ancestors,
 fewer with each level; an element's points are discounted by the share of its text that stands in links. The best element, its
 enclosing article if there is one, and siblings with enough points of their own are the main text.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ BONUS = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "
 #: An open element of the first kind ends where one of the second kind begins, up to an element of the third kind.
 SAME_LEVEL = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
 SAME_LEVEL_SETS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SAME_LEVEL.items()}
+NO_LEVELS: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
 LEVELS = 6
 #: Shares of a page's text outside links: an element with so much is no furniture by name, nor one around an article with so much.
 NEARLY_ALL, ARTICLE_SHARE = 0.8, 0.25
@@ -99,6 +101,18 @@ class Page:
         stack = [0]
         run: list[str] = []
         linked, links, in_link = 0, 0, False
+        still = Counter(["#root"])  # open elements by tag: what is not open is not looked for on the stack
+        unclosed: set[str] = set()  # tags without an end tag from here on
+
+        def leave(k: int) -> None:
+            still.subtract(self.tags[i] for i in stack[k:])
+            del stack[k:]
+
+        def end_of(tag: str, at: int) -> int | None:
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+            if not end:
+                unclosed.add(tag)
+            return end.end() if end else None
 
         def flush() -> None:
             nonlocal linked, links
@@ -129,8 +143,8 @@ class Page:
                 tag, attributes = opened.lower(), m[3] if m[2] else m[5]
                 if tag in SKIPPED:
                     if not attributes.endswith("/"):
-                        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                        at = end.end() if end else n
+                        end = end_of(tag, at)
+                        at = n if end is None else end
                     run.append(" ")
                 elif tag == "a":
                     in_link = True
@@ -139,42 +153,42 @@ class Page:
                     flush()
                     in_link = False
                     if tag in CLOSES_P and "p" in (self.tags[i] for i in stack[-3:]):
-                        while self.tags[stack.pop()] != "p":
-                            pass
+                        leave(len(stack) - 1 - [self.tags[i] for i in stack[:-4:-1]].index("p"))
                     if tag != "head" and self.tags[stack[-1]] == "head":
-                        stack.pop()
-                    if tag in SAME_LEVEL_SETS:
-                        ends, stops = SAME_LEVEL_SETS[tag]
+                        leave(len(stack) - 1)
+                    ends, stops = SAME_LEVEL_SETS.get(tag, NO_LEVELS)
+                    if any(still[t] for t in ends):
                         k = len(stack) - 1
                         while k > 0 and self.tags[stack[k]] not in ends and self.tags[stack[k]] not in stops:
                             k -= 1
                         if self.tags[stack[k]] in ends:
                             while k > 1 and self.tags[stack[k - 1]] in ends:
                                 k -= 1
-                            del stack[k:]
-                    if tag == "hr" or (tag in ("html", "body") and tag in (self.tags[i] for i in stack)):
+                            leave(k)
+                    if tag == "hr" or (tag in ("html", "body") and still[tag]):
                         continue
                     self.tags.append(tag)
                     self.parents.append(stack[-1])
-                    self.dropped.append(self.dropped[stack[-1]] or is_furniture(tag, attributes))
+                    own_header = tag == "header" and still["article"] > 0
+                    self.dropped.append(self.dropped[stack[-1]] or is_furniture("div" if own_header else tag, attributes))
                     self.named.append(is_named_furniture(tag, attributes))
                     stack.append(len(self.tags) - 1)
+                    still[tag] += 1
                 elif tag in ("br", "img", "wbr", "input"):
                     run.append(" " if tag != "wbr" else "")
                 elif tag == "button":
-                    end = re.compile(r"</button\b[^>]*>?", re.I).search(source, at)
-                    at = end.end() if end else at
+                    at = end_of(tag, at) or at
             elif closed:
                 tag = closed.lower()
                 if tag == "a":
                     in_link = False
                 elif tag in BLOCKS:
-                    k = len(stack) - 1
+                    k = len(stack) - 1 if still[tag] else 0
                     while k > 0 and self.tags[stack[k]] != tag:
                         k -= 1
                     flush()
                     if k > 0 and tag not in ("body", "html"):
-                        del stack[k:]
+                        leave(k)
                         in_link = False
         flush()
 
@@ -250,6 +264,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per page. Null or empty html: empty text. Null ids and urls pass through. Repeated
-    rows each give a row; other columns are ignored; an empty table gives none. The whole source is read, nothing is cut off."""
+    rows each give a row; of elements with equal scores the first in page order is the best; other columns are ignored; an empty table gives none. The whole source is read, nothing is cut off."""
     base = pick(pages, page_id=id_col, url=url_col, html=html_col)
     return map_arrow(base.withColumn("page_id", base.page_id.cast("long")), _extract, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,5 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,28 @@ def test_wrappers_named_like_furniture(wrapper, inner):
     assert main_text(page) == "\n".join(f"Sentence number {i}, with words, and more words to be long." for i in range(6))
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content side-by-side"', 'div id="search-results-page"', 'div class="has-sidebar widget-area"'])
+def test_pages_of_one_wrapper_named_like_furniture(wrapper):
+    body = "".join(f"<p>Sentence number {i}, with words, and more words to be long.</p>" for i in range(3))
+    assert main_text(f"<body><{wrapper}>{body}</div><footer>f</footer></body>").count("Sentence") == 3
+
+
+def test_header_of_an_article_stays():
+    body = "".join(f"<p>Sentence number {i}, with words, and more words to be long.</p>" for i in range(4))
+    page = f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>Lead, in short.</p><nav><a href=x>n</a></nav></header>{body}<footer>f</footer></article></body>"
+    assert main_text(page).split("\n")[:3] == ["Title", "Lead, in short.", "Sentence number 0, with words, and more words to be long."]
+
+
+@pytest.mark.parametrize("head,part", [("", "<button>"), ("<div>", "</p>"), ("<div>", "<li></li>"), ("<div>", "<body>")])
+def test_parts_without_their_counterpart_take_linear_time(head, part):
+    spent = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert main_text(head * n + part * n + "word") == "word"
+        spent.append(time.process_time() - began)
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
 def test_comments_longer_than_the_text_are_left_out():
     text = "".join(f"<p>Sentence number {i}, with words, and more words to be long.</p>" for i in range(4))
     comments = "".join(f"<p>Comment number {i}, with words, and more words to be long.</p>" for i in range(8))
