@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .library import preset_pool
+
 # The caps of the reference, for callers who want its very results; without them any total is solved.
 CAP_EXACT, CAP_CLOSEST = 200, 220
 
@@ -129,9 +131,48 @@ def assemble(pool: pd.DataFrame, target: int, mcq_share: float) -> tuple[list[in
     return chosen, log
 
 
+def _first_rows(df: DataFrame, by: list[str], order: list[str], many: Column) -> DataFrame:
+    """The first rows of each group: of 64 parts of a group first, so that no task reads a large group whole."""
+    for keys in ([*by, "__part"], by):
+        w = Window.partitionBy(*keys).orderBy(*order, "__copy")
+        df = df.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= many)
+    return df.drop("__place")
+
+
+def _first_papers(df: DataFrame, by: list[str], order: list[str], many: Column) -> DataFrame:
+    """The first rows of the first papers of each group, papers in order of their first row."""
+    w = Window.partitionBy(*by, "paper").orderBy(*order, "__copy")
+    df = df.withColumn("__place", F.row_number().over(w)).withColumn("__head", F.first(F.struct(*order, "paper")).over(w)).where(F.col("__place") <= many)
+    df = df.withColumn("__part", F.pmod(F.xxhash64("paper"), F.lit(64)))
+    for keys in ([*by, "__part"], by):
+        df = df.withColumn("__place", F.dense_rank().over(Window.partitionBy(*keys).orderBy("__head"))).where(F.col("__place") <= many)
+    return df.drop("__place", "__head")
+
+
+def bounded_pool(pool: DataFrame, target: str = "target", dealt: bool = False) -> DataFrame:
+    """The rows of a pool that a selection can use at all, so that a request's rows have a bound set by its target alone.
+
+    Sums up to ``limit = target + 12`` are reached first by the first rows in order: of equal marks ``limit / marks`` rows, since with
+    one more an earlier one is free for the same sum. A dealt paper also takes, in each topic, first rows of papers least used; it
+    uses at most ``target`` papers, so the first ``limit + 1`` papers, and as many rows of each, hold every row that it can take.
+    Selections are those of the whole pool; rows without marks above zero are never selected.
+    """
+    limit = F.col(target) + 12
+    rows = pool.where("marks > 0")
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least("__n", (limit + 1).cast("long")).cast("int")))).drop("__n")
+    rows = rows.where(limit > 0).withColumn("__part", F.pmod(F.xxhash64("id", "__copy"), F.lit(64)))
+    out = _first_rows(rows, ["request", "marks"], ["order", "id"], F.floor(limit / F.col("marks")) + 1).drop("__part")
+    if dealt:
+        rows = rows.withColumn("__mcq", F.coalesce(F.col("kind") == "mcq", F.lit(False))).withColumn("__rank", -F.col("priority"))
+        topics = _first_papers(rows, ["request", "__mcq", "topic", "marks"], ["__rank", "order", "id"], limit + 1)
+        fill = _first_papers(rows.where("not __mcq"), ["request", "marks"], ["order", "id"], 2 * limit + 1)
+        out = out.unionByName(topics.select(*out.columns)).unionByName(fill.select(*out.columns)).distinct()
+    return out.drop("__copy")
+
+
 def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True) -> DataFrame:
     """Solve one selection a request: ``pool`` has (request, target, id, marks, kind, topic, paper, priority, order) and is grouped by
-    request, whose pools are small by design. Gives (request, id, marks, total, target, log)."""
+    request after ``bounded_pool``, so that the rows of one request have a bound set by its target, however large its pool. Gives (request, id, marks, total, target, log)."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["order", "id"]).reset_index(drop=True)
@@ -145,7 +186,7 @@ def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0
         out["total"], out["target"], out["log"] = int(out["marks"].sum()), goal, "; ".join(log)
         return out
 
-    return pool.withColumn("target", F.col(target)).groupBy("request").applyInPandas(solve, "request string, id string, marks int, total int, target int, log string")
+    return bounded_pool(pool.withColumn("target", F.col(target)), dealt=bool(mcq_share)).groupBy("request").applyInPandas(solve, "request string, id string, marks int, total int, target int, log string")
 
 
 def seeded_order(key: Column, seed: str) -> Column:
@@ -194,3 +235,16 @@ def remaining(pool: DataFrame, cart: DataFrame) -> DataFrame:
     held = cart.groupBy("request").agg(F.sum("marks").cast("int").alias("__held"))
     rest = pool.join(cart.select("request", "id"), ["request", "id"], "left_anti").join(held, "request", "left")
     return rest.withColumn("target", F.greatest(F.lit(0), F.col("target") - F.coalesce("__held", F.lit(0)))).drop("__held").where("target > 0")
+
+
+def preset_requests(questions: DataFrame, presets: DataFrame, families: list[str]) -> DataFrame:
+    """Pools of presets (preset, unit_code, target, kind): the questions of its unit, or all for a preset of ``all`` units and one
+    whose unit has none; of these the kind that it asks for, where the pool has any. Questions have (unit, unit_code, kind); rows get
+    (request, target). Presets are a short list, and each takes part in one equi-join."""
+    named = preset_pool(questions, presets.where("lower(unit_code) <> 'all'"), families)
+    whole = presets.join(named.select("preset").distinct(), "preset", "left_anti")
+    every = questions.withColumn("__any", F.lit(1)).join(whole.select("preset", F.lit(1).alias("__any")), "__any").drop("__any")
+    wanted = presets.select("preset", "target", F.col("kind").alias("__kind"))
+    pool = named.unionByName(every).join(wanted, "preset").withColumnRenamed("preset", "request")
+    some = pool.where("kind = __kind").select("request").distinct().withColumn("__some", F.lit(True))
+    return pool.join(some, "request", "left").where("__some is null or kind = __kind").drop("__kind", "__some")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import library as L
 from ..operators import structure as S
-from ..operators.exam import prepare_pool, select_exams, soft_filter
+from ..operators.exam import prepare_pool, preset_requests, seeded_order, select_exams, soft_filter
 from ..operators.explore import FilterSpec
 from ..operators.normalize import box, marks_of, normalize, question_type, subject
-from ..operators.taxonomy import apply_rules, promote
+from ..operators.taxonomy import apply_rules, consistency, led_by, promote, replaced, resolve_number, scoped, specific_first, stripped
 from ..registry import query
 from .base import Q, lines, many, questions, table
 from .exams import _pool
@@ -343,3 +343,75 @@ def q_exam_exact_totals(spark, sf_dir):
 def q_exam_closest_totals(spark, sf_dir):
     chosen = select_exams(_pool(spark, sf_dir, 80))
     return chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand AS unit, p_size AS n FROM part), l AS (SELECT *, CASE n % 5 WHEN 0 THEN n || '.1-' || n || '.4: topic ' || n || ' end' WHEN 1 THEN n || 'A: topic ' || n || ' end' WHEN 2 THEN 'Spec ' || n || '-' || (n + 2) || ': topic ' || n || ' end' WHEN 3 THEN '1.' || n || '.2: topic ' || n || ' end' ELSE 'U3.' || n || ': topic ' || n || ' end' END AS label FROM d)
+SELECT p_partkey AS part, CASE WHEN p_partkey % 11 = 0 AND p_size % 5 <> 4 THEN NULL ELSE label END AS label FROM part LEFT JOIN l ON unit = p_brand AND n = (p_partkey * 7) % 50 + 1""".replace("p_size % 5 <> 4", "((p_partkey * 7) % 50 + 1) % 5 <> 4"))
+def q_number_resolve(spark, sf_dir):
+    """Numbers, letters, practical codes, spec ranges and bare topics, each resolved in its unit; foreign units are refused."""
+    p = parts(spark, sf_dir)
+
+    def by(n, *forms):
+        out = F.when(F.lit(False), "")
+        for k, form in enumerate(forms):
+            out = out.when(n % 5 == k, F.concat(*(s(x) if not isinstance(x, str) else F.lit(x) for x in form)))
+        return out
+
+    n = F.col("n")
+    tail = (": topic ", n, " end")
+    dim = p.select("unit", F.col("size").alias("n")).distinct().select("unit", "n", by(n, (n, ".1-", n, ".4", *tail), (n, "A", *tail), ("Spec ", n, "-", n + 2, *tail), ("1.", n, ".2", *tail), ("U3.", n, *tail)).alias("label"))
+    foreign = F.col("part") % 11 == 0
+    given = F.when(foreign & (n % 5 != 4), F.concat(F.lit("P2 "), s(n), F.lit(".2"))).when(F.col("part") % 3 == 0, F.concat(F.lit("Topic "), s(n), F.lit(" END"))).otherwise(by(n, ("see ", n, ".3 of it"), ("part ", n, "A here"), ("Specification ", n + 1), ("1.", n, ".2 in part"), ("u3.", n)))
+    items = p.select("part", "unit", ((F.col("part") * 7) % 50 + 1).alias("n")).withColumn("given", given)
+    return resolve_number(items, dim, "unit", "label", "n", ["part"], F.col("given"), foreign=foreign & (n % 5 != 4)).select("part", "label")
+
+
+@query("""WITH b AS (SELECT p_partkey AS part, p_name AS t, p_size AS k, ['eq', 'names', 'hazard', 'alkane', 'acid', 'far'][p_size % 6 + 1] AS main, [['eq', 'names', 'hazard', 'alkane', 'acid', 'far'][p_partkey % 6 + 1], ['eq', 'names', 'hazard', 'alkane', 'acid', 'far'][(p_partkey // 6) % 6 + 1]] AS r FROM part),
+c AS (SELECT *, list_filter(CASE WHEN r[1] = r[2] THEN r[1:1] ELSE r END, lambda x: x <> 'far') AS r1 FROM b),
+d AS (SELECT part, k, CASE WHEN main <> 'far' THEN main ELSE coalesce(r1[1], 'eq') END AS main, r1 FROM c), e AS (SELECT part, k, main, list_filter(r1, lambda x: x <> main) AS r FROM d),
+f AS (SELECT part, k, main, CASE WHEN k % 4 <> 0 THEN list_filter(r, lambda x: x <> 'hazard') ELSE r END AS r FROM e),
+g AS (SELECT part, k, CASE WHEN k % 4 <> 0 AND main = 'hazard' AND len(r) > 0 THEN r[1] ELSE main END AS main, CASE WHEN k % 4 <> 0 AND main = 'hazard' AND len(r) > 0 THEN r[2:] ELSE r END AS r FROM f),
+h AS (SELECT part, k, CASE WHEN k % 8 = 0 THEN 'hazard' ELSE main END AS main, CASE WHEN k % 8 = 0 AND main <> 'hazard' THEN list_concat([main], list_filter(r, lambda x: x <> 'hazard')) ELSE r END AS r FROM g),
+i AS (SELECT *, list_filter(r, lambda x: x NOT IN ('eq', 'names'))[1] AS first FROM h),
+j AS (SELECT part, k, CASE WHEN main IN ('eq', 'names') AND first IS NOT NULL THEN first ELSE main END AS main, CASE WHEN main IN ('eq', 'names') AND first IS NOT NULL THEN list_concat([main], list_filter(r, lambda x: x <> first)) ELSE r END AS r FROM i),
+l AS (SELECT part, CASE WHEN main = 'eq' AND k % 3 = 0 THEN 'alkane' ELSE main END AS main, CASE WHEN main = 'eq' AND k % 3 = 0 THEN ['eq'] ELSE r END AS r FROM j)
+SELECT part, main, list_filter(r, lambda x: x <> main)[1] AS related FROM l""")
+def q_hierarchy_rules(spark, sf_dir):
+    """Five ordered rules: labels of the unit, a label that does not belong, one that must lead, specific before generic, a rename."""
+    names = F.array(*map(F.lit, ["eq", "names", "hazard", "alkane", "acid", "far"]))
+    at = lambda x: F.get(names, x.cast("int"))
+    k = F.col("size")
+    rows = parts(spark, sf_dir).select("part", "size", at(k % 6).alias("main"), F.array(at(F.col("part") % 6), at(F.floor(F.col("part") / 6) % 6)).alias("related"))
+    rules = [scoped(F.slice(names, 1, 5)), stripped("hazard", k % 4 != 0), led_by("hazard", k % 8 == 0), specific_first(["eq", "names"], ["eq", "names"]), replaced("eq", k % 3 == 0, "alkane")]
+    return apply_rules(rows, "main", "related", rules).select("part", "main", F.get("related", F.lit(0)).alias("related"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS part, p_size % 7 AS k, CASE p_size % 7 WHEN 1 THEN 'General' WHEN 2 THEN NULL ELSE p_brand END AS ms, p_brand[1:7] AS parent, CASE WHEN p_size % 5 = 0 THEN 'Brand#1' ELSE p_brand[1:7] END AS mt, p_size % 3 AS m FROM part)
+SELECT part, array_to_string(list_filter([CASE WHEN ms IS NULL OR ms = 'General' THEN 'invalid_main' END, CASE WHEN ms IS NULL OR ms = 'General' THEN 'invalid_subtopic' END, CASE WHEN ms IS NULL OR ms = 'General' THEN 'unknown_main' END, CASE WHEN m = 1 THEN 'unknown_related' END,
+CASE WHEN ms IS NULL OR ms = 'General' THEN 'foreign_main' END, CASE WHEN mt <> parent THEN 'wrong_parent' END, CASE WHEN m > 0 THEN 'many_related' END, CASE WHEN m = 2 AND ms = own THEN 'main_repeated' END, CASE WHEN m = 1 THEN 'foreign_related' END, CASE WHEN m = 0 AND mt <> parent THEN 'legacy_topic' END,
+CASE WHEN ms IS NULL THEN 'legacy_subtopics' END, CASE WHEN mt IS DISTINCT FROM parent THEN 'legacy_topics' END], lambda x: x IS NOT NULL), ',') AS issues FROM b JOIN (SELECT p_partkey, p_brand AS own FROM part) ON p_partkey = part""")
+def q_consistency(spark, sf_dir):
+    """Rows classified by maker (the head of a brand) and brand against the brands of each maker."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"), F.substring("p_brand", 1, 7).alias("maker"), F.col("p_brand").alias("brand"))
+    legal = p.groupBy("maker").agg(F.collect_set("brand").alias("legal"))
+    known = p.agg(F.collect_set("brand").alias("known"), F.collect_set("maker").alias("makers")).withColumn("one", F.lit(1))
+    k, m = F.col("size") % 7, F.col("size") % 3
+    main = F.when(k == 1, "General").when(k != 2, F.col("brand"))
+    topic = F.when(F.col("size") % 5 == 0, "Brand#1").otherwise(F.col("maker"))
+    rest = F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("odd"), F.lit("odder"))).otherwise(F.array("brand", "brand"))
+    rows = p.join(legal, "maker").withColumn("one", F.lit(1)).join(known, "one").withColumns({"main": main, "topic": topic, "rest": rest, "older": F.when(m == 0, F.col("maker")).otherwise(topic)})
+    codes = consistency(F.col("topic"), F.col("main"), F.col("rest"), F.col("older"), F.col("main"), F.array("maker"), F.when(F.col("main").isNotNull(), F.array("main")), F.col("maker"), legal=F.col("legal"), known=F.col("known"), topics=F.col("makers"))
+    return rows.select("part", F.array_join(codes, ",").alias("issues"))
+
+
+@query(f"""WITH {Q}, c AS (SELECT q.*, CASE unit WHEN 'BUILDING' THEN 'WX11' WHEN 'MACHINERY' THEN 'WX12' END AS code FROM q), p AS (SELECT * FROM (VALUES ('one', 'WX11', 40, 'theory'), ('two', 'wx12', 25, 'mcq'), ('sprint', 'all', 30, 'mcq'), ('lost', 'WX19', 50, 'theory')) t(request, unit_code, target, wanted))
+SELECT request, target, count(*) AS n, CAST(sum(marks) AS BIGINT) AS marks, target AS total FROM p JOIN c ON kind = wanted AND (upper(unit_code) = code OR unit_code IN ('all', 'WX19')) GROUP BY request, target""")
+def q_preset_exam(spark, sf_dir):
+    """Pools of presets and the total that a selection from each reaches."""
+    unit = F.col("unit")
+    q = questions(spark, sf_dir).withColumn("unit_code", F.when(unit == "BUILDING", "WX11").when(unit == "MACHINERY", "WX12"))
+    presets = spark.createDataFrame([("one", "WX11", 40, "theory"), ("two", "wx12", 25, "mcq"), ("sprint", "all", 30, "mcq"), ("lost", "WX19", 50, "theory")], "preset string, unit_code string, target int, kind string")
+    pool = preset_requests(q, presets, ["WX1"])
+    sizes = pool.groupBy("request", "target").agg(many().alias("n"), F.sum("marks").cast("long").alias("marks"))
+    chosen = select_exams(pool.select("request", "target", F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"), "marks", seeded_order(F.col("id"), "3").alias("order")))
+    return sizes.join(chosen.groupBy("request").agg(F.max("total").alias("total")), "request")

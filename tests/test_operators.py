@@ -1,13 +1,15 @@
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from questmill.operators.exam import closest_subset, exact_subset, prepare_pool, remaining, select_exams
+from questmill.operators.exam import assemble, bounded_pool, closest_subset, exact_subset, prepare_pool, remaining, select_exams
 from questmill.operators.explore import FilterSpec, facet_all, facet_many, unit_matches
 from questmill.operators.match import anti_any, asof_join, fallback_join, nearest_join
 from questmill.operators.merge import ghost_purge, latest, merge_progress, partial_latest, replace_by
 from questmill.operators.ordered import islands, keep_best, sequential_gate
-from questmill.operators.taxonomy import apply_rules, classify_by_keywords, code_index, promote, resolve
+from questmill.operators.taxonomy import apply_rules, classify_by_keywords, code_index, consistency, led_by, number_index, promote, replaced, resolve, resolve_number, scoped, specific_first, stripped
 
 
 def test_exact_subset_vectors():
@@ -145,3 +147,52 @@ def test_pool_preparation(spark):
     left = remaining(pool, pool.where("id = 'q1'").select("request", "id", "marks"))
     assert left.count() == 11 and left.first().target == 7
     assert select_exams(left).first().total == 7
+
+
+@pytest.mark.parametrize("goal", [0, 5, 37, 61])
+def test_bounded_pools_give_the_selections_of_whole_pools(spark, goal):
+    rng = random.Random(goal)
+    rows = [("a" if i % 3 else "b", goal, f"i{i:03d}", rng.choice([0, 1, 2, 3, 7, 30, 90]), rng.choice(["mcq", "theory"]), rng.choice("xyz"), rng.choice("pqrstuvw"), rng.randrange(4), f"{rng.randrange(99):02d}") for i in range(200)]
+    columns = ["request", "target", "id", "marks", "kind", "topic", "paper", "priority", "order"]
+    pool = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c in ('target', 'marks', 'priority') else 'string'}" for c in columns))
+    want = {0.0: [], 0.22: []}
+    for request in "ab":
+        frame = pd.DataFrame([r for r in rows if r[0] == request], columns=columns).sort_values(["order", "id"], kind="stable").reset_index(drop=True)
+        for share, out in want.items():
+            places = assemble(frame, goal, share)[0] if share else closest_subset(frame["marks"].tolist(), goal)
+            out += [(request, frame["id"][i], int(frame["marks"][i])) for i in places]
+    for share, out in want.items():
+        got = select_exams(pool, mcq_share=share).select("request", "id", "marks").collect()
+        assert sorted(map(tuple, got)) == sorted(out)
+    assert bounded_pool(pool.unionByName(pool).unionByName(pool)).groupBy("request", "marks").count().where(f"count > 2 + floor(({goal} + 12) / marks)").count() == 0
+
+
+def test_numbers_and_letters_of_a_syllabus(spark):
+    labels = ["4A (4.1-4.3): hazards and risk", "4A (4.4-4.8): naming of alkanes", "5B: moles", "1.3.1: units", "1.3.2: forces", "Spec 7-9: waves", "Spec 20, 22: light", "U3.2: practical", "P1 5.2a: lines", "9.1: first", "9.1: second"]
+    dim = spark.createDataFrame([("X", i, x) for i, x in enumerate(labels)], "unit string, place int, label string")
+    want = {
+        "4.2": 0, "see 4.7 there": 1, "4A naming of things": 1, "4A": 0, "5b": 2, "part 5B here": 2, "1.3.2 of it": 4, "Specification 8": 5, "spec 21": None, "SPEC20": 6, "SPEC22": None, "u3.2": 7, "3.2": 7,
+        "P1 5.2a": 8, "P1 5.3": None, "5.2a lines": 8, "9.1": 10, "9.1: first": 9, "9.1: second": 10, "moles": 2, "the 1.3.1: units, all": 3, "P2 4.2": None, "1.9.9 units": None, "": None, "nothing": None,
+    }
+    items = spark.createDataFrame([(i, "X", g) for i, g in enumerate([*want, None])], "i int, unit string, given string")
+    got = {r.i: r.label for r in resolve_number(items, dim, "unit", "label", "place", ["i"], F.col("given"), foreign=F.col("given").startswith("P2"), strict=F.lit(True)).collect()}
+    assert {g: got[i] for i, g in enumerate(want)} == {g: None if k is None else labels[k] for g, k in want.items()} and got[len(want)] is None
+    assert number_index(dim.limit(0), "unit", "label", "place").count() == 0 and resolve_number(items.limit(0), dim, "unit", "label", "place", ["i"], F.col("given")).count() == 0
+
+
+def test_hierarchy_rules_in_order(spark):
+    legal = F.array(*map(F.lit, ["eq", "names", "hazard", "alkane", "acid"]))
+    rules = [scoped(legal), stripped("hazard", ~F.col("t").contains("risk")), led_by("hazard", F.col("t").contains("risk")), specific_first(["eq", "names"], ["eq", "names"]), replaced("eq", F.col("t").contains("burn"), "alkane")]
+    rows = [("out", ["far", "acid", "acid", "eq"], ""), ("out", [], ""), ("hazard", ["acid"], "x"), ("hazard", [], "x"), ("acid", ["hazard"], "x"), ("acid", ["eq"], "risk"), ("eq", ["names", "acid"], ""), ("eq", ["names"], "burn"), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, main string, related array<string>, t string")
+    got = [(r.main, r.related) for r in apply_rules(df, "main", "related", rules).orderBy("i").collect()]
+    assert got == [("acid", ["eq"]), ("eq", []), ("acid", []), ("hazard", []), ("acid", []), ("hazard", ["acid"]), ("acid", ["eq"]), ("alkane", ["eq"]), ("eq", [])]
+
+
+def test_consistency_issues(spark):
+    row = lambda *x: spark.createDataFrame([x], "mt string, ms string, rel array<string>, t string, s string, ts array<string>, ss array<string>, parent string")
+    legal, known, topics = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("T"))
+    of = lambda df: df.select(consistency(*map(F.col, ["mt", "ms", "rel", "t", "s", "ts", "ss", "parent"]), legal=legal, known=known, topics=topics).alias("x")).first().x
+    assert of(row("T", "a", ["b"], "T", "a", ["T"], ["a"], "T")) == []
+    assert of(row(None, " General ", None, None, None, None, None, None)) == ["invalid_main_topic", "invalid_main", "invalid_topic", "invalid_subtopic", "unknown_main_topic", "unknown_main", "foreign_main", "legacy_subtopic", "legacy_subtopics", "legacy_topics"]
+    assert of(row("U", "c", ["c", "z"], "T", "c", ["T"], ["c"], "T")) == ["unknown_main_topic", "unknown_related", "foreign_main", "wrong_parent", "many_related", "main_repeated", "foreign_related", "legacy_topic", "legacy_topics"]
