@@ -361,7 +361,7 @@ def q_number_resolve(spark, sf_dir):
     tail = (": topic ", n, " end")
     dim = p.select("unit", F.col("size").alias("n")).distinct().select("unit", "n", by(n, (n, ".1-", n, ".4", *tail), (n, "A", *tail), ("Spec ", n, "-", n + 2, *tail), ("1.", n, ".2", *tail), ("U3.", n, *tail)).alias("label"))
     foreign = F.col("part") % 11 == 0
-    given = F.when(foreign & (n % 5 != 4), F.concat(F.lit("P2 "), s(n), F.lit(".2"))).when(F.col("part") % 3 == 0, F.concat(F.lit("Topic "), s(n), F.lit(" END"))).otherwise(by(n, ("see ", n, ".3 of it"), ("part ", n, "A here"), ("Specification ", n + 1), ("1.", n, ".2 in part"), ("u3.", n)))
+    given = F.when(foreign & (n % 5 != 4), F.concat(F.lit("P2 "), s(n), F.lit(".2"))).when(F.col("part") % 3 == 0, F.concat(F.lit("Topic "), s(n), F.lit(" END"))).otherwise(by(n, ("see ", n, ".3 of it"), ("part ", n, "A here"), ("Specification ", n + 1), ("1.", n, ".2 in part"), ("u3.", n, ": it")))
     items = p.select("part", "unit", ((F.col("part") * 7) % 50 + 1).alias("n")).withColumn("given", given)
     return resolve_number(items, dim, "unit", "label", "n", ["part"], F.col("given"), foreign=foreign & (n % 5 != 4)).select("part", "label")
 
