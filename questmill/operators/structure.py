@@ -83,6 +83,19 @@ def is_noise(text: Column, y: Column, page_height: Column) -> Column:
     return out
 
 
+# What the header row of a table of answers says.
+HEADER_WORDS, HEADER_ALONE = ("question", "acceptable", "additional guidance"), "number"
+
+
+def is_header_row(cells: Column) -> Column:
+    """Whether a row of cells heads a table of answers; cells that are null or empty say nothing."""
+    text = F.lower(F.array_join(F.filter(F.coalesce(cells, F.array().cast("array<string>")), lambda c: c != ""), " "))
+    out = F.trim(text) == HEADER_ALONE
+    for word in HEADER_WORDS:
+        out = out | text.contains(word)
+    return out
+
+
 def blank_pages(blocks: DataFrame, by: list[str], least_words: int = 5) -> DataFrame:
     """Pages with hardly a word once noise is gone: (keys, words, blank)."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x.rlike("[A-Za-z]{2,}")))

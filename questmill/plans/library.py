@@ -415,3 +415,11 @@ def q_preset_exam(spark, sf_dir):
     sizes = pool.groupBy("request", "target").agg(many().alias("n"), F.sum("marks").cast("long").alias("marks"))
     chosen = select_exams(pool.select("request", "target", F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"), "marks", seeded_order(F.col("id"), "3").alias("order")))
     return sizes.join(chosen.groupBy("request").agg(F.max("total").alias("total")), "request")
+
+
+@query("""SELECT conv_id, count(*) AS n, count(*) FILTER (contains(lower(role || ' ' || text), 'question') OR contains(lower(role || ' ' || text), 'acceptable') OR contains(lower(role || ' ' || text), 'additional guidance') OR contains(lower(role || ' ' || text), 'user')) AS headers FROM conversations GROUP BY conv_id""")
+def q_header_rows(spark, sf_dir):
+    """Turns as rows of cells; one role reads as a header's word."""
+    t = table(spark, sf_dir, "conversations")
+    cells = F.array("role", "text", F.when(F.lower(F.concat("role", F.lit(" "), "text")).contains("user"), "Question"))
+    return t.groupBy("conv_id").agg(many().alias("n"), F.count_if(S.is_header_row(cells)).alias("headers"))

@@ -62,3 +62,9 @@ def test_reports(spark):
     assert [tuple(r) for r in report.with_total(df, "k", "n").collect()] == [("a", 4), ("b", 2), ("TOTAL", 6)]
     page = report.html_report(df, "x <y>", ["n"], most=2)
     assert "3 rows, 2 shown" in page and "x &lt;y&gt;" in page
+
+
+def test_header_rows(spark):
+    rows = [(["Question", "Answer"],), ([None, " Number ", ""],), (["number", "of moles"],), (["Acceptable answers"],), (["a", None],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "cells array<string>")
+    assert [r.x for r in df.select(structure.is_header_row(F.col("cells")).alias("x")).collect()] == [True, True, False, True, False, False, False]
