@@ -12,10 +12,13 @@ from .bpe import encode_documents
 from .embed_dup import similar_vectors
 from .hilbert import hilbert_shards
 from .html_main import extract_pages
+from .importance import resample
+from .katz import score_texts
 from .langid import held_out, with_language
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import with_quality
+from .runs import periodic_runs
 from .shared import vocabulary
 from .token_edits import count_edited
 
@@ -68,6 +71,30 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose crc32(doc_id) mod 10 is 0 are held out."""
+    return score_texts(_table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document (by its id's crc32) is given a tail that repeats, as the contract has it; then the runs of all."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), F.size(words).cast("long").alias("n"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    runs = periodic_runs(docs.select("doc_id", F.array_join(F.when(F.col("a").isNotNull(), again).otherwise(F.col("words")), " ").alias("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("x"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")), F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -107,7 +134,7 @@ FROM embeddings t LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_edited_token_counts, op3_tree_scoring, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op8_lstm_crf_pii, op9_prefix_bpe, op10_crf_language)
+    found = (op1_minhash, op2_edited_token_counts, op3_tree_scoring, op4_hilbert_shards, op5_nnls_packing, op6_vector_tiles, op7_quality_ratio, op8_lstm_crf_pii, op9_prefix_bpe, op10_crf_language, op11_katz_scores, op12_periodic_runs, op13_segment_resampling)
     return {fn.__name__: fn for fn in found}
 
 
