@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ def sequential_gate(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("int"), lambda acc, x: F.when(x == acc + 1, acc + 1).otherwise(acc))
 
 
+def fold_machine(df: DataFrame, by: list[str], chunk: Column, order: list, event: Column, states: int, step: Callable[[Column, Column], Column], start: int = 0, name: str = "state") -> DataFrame:
+    """The state of a machine of ``states`` states (0, 1, ...) after all events of each group: (by, ``name``).
+
+    The rows of a group are cut by ``chunk``, which never falls along ``order`` (a day, a block of numbers). A chunk's events are folded
+    into one array, the state after the chunk for each state before it; a group then folds its few arrays. So a group of any size is
+    spread over tasks, and no row holds more than the events of a chunk. ``step`` gives the state (int) after an event.
+    """
+    fresh = F.sequence(F.lit(0), F.lit(states - 1))
+    rows = df.select(*by, chunk.alias("__chunk"), F.struct(*order, event.alias("__event")).alias("__x"))
+    folded = rows.groupBy(*by, "__chunk").agg(F.aggregate(F.array_sort(F.collect_list("__x")), fresh, lambda now, x: F.transform(now, lambda s: step(s, x["__event"]).cast("int"))).alias("__map"))
+    maps = F.array_sort(F.collect_list(F.struct("__chunk", "__map")))
+    return folded.groupBy(*by).agg(F.aggregate(maps, F.lit(start), lambda s, x: F.get(x["__map"], s)).alias(name))
+
+
 def keep_best(df: DataFrame, by: list[str], *order) -> DataFrame:
     """One row a key, the first in ``order``."""
     w = Window.partitionBy(*by).orderBy(*order)

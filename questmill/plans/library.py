@@ -167,9 +167,9 @@ def q_own_text(spark, sf_dir):
     return parts(spark, sf_dir).select("part", L.own_text(a, b, F.lit("parent"), F.col("size") % 5 == 0).alias("own"))
 
 
-@query("SELECT event_id, CAST(greatest(1, round_even((event_id % 5000) / 800.0::DOUBLE, 0)) AS INTEGER) AS pages, CAST((event_id % 90000) // 3600 AS VARCHAR) || ':' || lpad(CAST((event_id % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') AS shown FROM events WHERE event_id % 90000 = event_id")
+@query("SELECT event_id, CAST(greatest(1, round_even((event_id % 5000) / 800.0::DOUBLE, 0)) AS INTEGER) AS pages, CAST((event_id % 90000) // 3600 AS VARCHAR) || ':' || lpad(CAST((event_id % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') AS shown FROM events")
 def q_countdown(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 90000 = event_id")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", L.page_span(F.col("event_id") % 5000, 800.0).alias("pages"), L.countdown(F.col("event_id") % 90000).alias("shown"))
 
 

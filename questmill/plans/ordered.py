@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import ghost_purge, latest, partial_latest, toggled
-from ..operators.ordered import before_cutoff, carry_forward, islands, keep_best, round_robin, running_max, sequential_gate
+from ..operators.ordered import before_cutoff, carry_forward, fold_machine, islands, keep_best, round_robin, running_max
 from ..registry import query
 from .base import Q, TIES, lines, many, questions, table
 
@@ -58,9 +58,9 @@ def q_islands(spark, sf_dir):
 SELECT user_id, 0 AS last, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT f.user_id, CASE WHEN s.x = f.last + 1 THEN s.x ELSE f.last END, s.n FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
 SELECT user_id, CAST(max(last) AS INTEGER) AS reached FROM f GROUP BY user_id""")
 def q_sequential_gate(spark, sf_dir):
+    """Numbers are accepted one after the other: a machine of six states, folded day by day."""
     x = F.floor("value").cast("int") % 6
-    numbers = F.transform(F.array_sort(F.collect_list(F.struct("ts", x.alias("x")))), lambda s: s["x"])
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(numbers.alias("numbers")).select("user_id", sequential_gate(F.col("numbers")).alias("reached"))
+    return fold_machine(table(spark, sf_dir, "events"), ["user_id"], F.to_date("ts"), ["ts"], x, 6, lambda s, n: F.when(n == s + 1, n).otherwise(s), name="reached")
 
 
 @query("""WITH d AS (SELECT p_brand, p_type, p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) SELECT p_brand AS topic, p_partkey AS part, row_number() OVER (PARTITION BY p_brand ORDER BY n, p_type) AS turn FROM d""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import latest, replace_by
+from ..operators.merge import latest
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -28,29 +28,34 @@ def distinct_events(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def merge_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
-    """Fold each batch to the last event a key and merge it into the Parquet folder ``target``, version by version.
+def merge_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[str], every: int = 16) -> None:
+    """Fold each batch to the last event a key and add it to the Parquet folder ``target`` as ``delta=<batch>``.
 
-    A version is a new folder; the newest complete one is the state. Nothing is overwritten, so a failed batch leaves the last
-    version as it was.
+    A batch writes only its own keys. After ``every`` batches the deltas since the last full state are folded into ``full=<batch>``,
+    so that the cost of a batch does not grow with the state. A batch that is run again writes the same folders again; folders
+    that were not committed are passed over.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = latest(batch, keys, ["ts"], "event_type", "event_id", "ts")
-        if number:
-            old = spark.read.parquet(f"{target}/version={number - 1}")
-            both = old.unionByName(newest)
-            newest = replace_by(old, latest(both, keys, ["ts"], "event_type", "event_id", "ts"), keys)
-        newest.write.mode("overwrite").parquet(f"{target}/version={number}")
+        latest(batch, keys, ["ts"], "event_type", "event_id", "ts").write.mode("overwrite").parquet(f"{target}/delta={number}")
+        if (number + 1) % every == 0:
+            folded(spark, target, keys, number).write.mode("overwrite").parquet(f"{target}/full={number}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The newest complete state: the largest version whose folder was committed; a write that was cut short is passed over."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, "version=*/_SUCCESS"))
-    newest = max(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
-    return spark.read.parquet(f"{target}/version={newest}").withColumn("version", F.lit(newest))
+def _committed(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Numbers of the folders of one kind whose write was completed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in files.globStatus(path(target, f"{kind}=*/_SUCCESS")) or [])
+
+
+def folded(spark: SparkSession, target: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The state: the newest full folder before ``upto`` and the deltas after it, the last event of each key."""
+    fulls = [n for n in _committed(spark, target, "full") if upto is None or n < upto]
+    since = fulls[-1] if fulls else -1
+    parts = [f"{target}/full={since}"] * bool(fulls) + [f"{target}/delta={n}" for n in _committed(spark, target, "delta") if n > since and (upto is None or n <= upto)]
+    return latest(spark.read.parquet(*parts), keys, ["ts"], "event_type", "event_id", "ts")
