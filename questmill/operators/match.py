@@ -54,3 +54,32 @@ def anti_any(left: DataFrame, right: DataFrame, keys: list[list[str]]) -> DataFr
     for on in keys:
         left = left.join(right.select(*on).where(" and ".join(f"{k} is not null" for k in on)).distinct(), on, "left_anti")
     return left
+
+
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], lo: str, hi: str, unit: float) -> DataFrame:
+    """All pairs of intervals of one group that share a point: columns of ``left`` as they are, of ``right`` with ``right_`` before them.
+
+    Intervals are put into cells. An interval's own level is the first whose cells, ``unit`` times a power of two wide, are as wide
+    as it, so that it lies in two of them at most. A pair meets at the higher of its two levels: one side with its own cells, the
+    other with its cells of that level; and of the cells that both lie in, the one that holds the later start reports it. A group
+    is spread over its cells, long intervals cost no more copies than there are levels, and no pair comes twice. Rows with nulls
+    have no pairs.
+    """
+    ready = []
+    for df, head in ((left, ""), (right, "right_")):
+        size = F.greatest(F.col(hi) - F.col(lo), F.lit(unit)) / F.lit(unit)
+        rows = df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))).withColumn("__own", F.ceil(F.log2(size)).cast("int"))
+        ready.append((rows, head))
+    highest = max((rows.agg(F.max("__own")).first()[0] or 0) for rows, _ in ready)
+    copies = []
+    for rows, head in ready:
+        levels = rows.withColumn("__level", F.explode(F.sequence("__own", F.lit(highest))))
+        wide = F.lit(unit) * F.pow(F.lit(2.0), "__level")
+        first, last = F.floor(F.col(lo) / wide), F.floor(F.col(hi) / wide)
+        named = [F.col(c) if c in by else F.col(c).alias(head + c) for c in rows.columns if not c.startswith("__")]
+        copies.append(levels.withColumn("__cell", F.explode(F.sequence(first, last))).select(*named, first.alias(f"__from{head}"), "__cell", "__level", (F.col("__level") == F.col("__own")).alias(f"__at{head}")))
+    a, b = copies
+    meets = (F.col("__cell") == F.greatest("__from", "__fromright_")) & (F.col(lo) <= F.col(f"right_{hi}")) & (F.col(f"right_{lo}") <= F.col(hi))
+    keys = [*by, "__cell", "__level"]
+    pairs = a.where("__at").join(b, keys).unionByName(a.where("not __at").join(b.where("__atright_"), keys))
+    return pairs.where(meets).drop("__cell", "__level", "__from", "__fromright_", "__at", "__atright_")
