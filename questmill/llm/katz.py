@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import global_rank, map_arrow, pick, small_batches, stash
 
-BLOCK_TOKENS = 2_000_000
-PART_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+PART_TOKENS = 1_000_000
 CUT = 5
 HOT = 65_536
 #: Numbers of the end of a text, of its beginning (a first word only) and of words that training lacks; known words follow.
@@ -157,11 +157,13 @@ def spreads(h: np.ndarray, words: Words, parts: int) -> np.ndarray:
 
 def pairs_of(size: np.ndarray, tokens: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers, pairs) of a block's tokens."""
-    w = unpack(ids, np.int32).astype(np.int64)[unpack(tokens, np.int32)]
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[np.concatenate([[0], np.cumsum(size)[:-1]])] = BEGIN
-    return w, h << 32 | w
+    w = unpack(ids, np.int32)[unpack(tokens, np.int32)]
+    pairs = np.empty(len(w), np.int64)
+    pairs[1:] = w[:-1]
+    pairs[np.concatenate([[0], np.cumsum(size)[:-1]])] = BEGIN
+    pairs <<= 32
+    pairs |= w
+    return w, pairs
 
 
 def ask(batches: Iterator[pa.RecordBatch], words: Words, parts: int) -> Iterator[pa.RecordBatch]:
@@ -240,6 +242,7 @@ def evaluate(batches: Iterator[pa.RecordBatch], words: Words, parts: int, d: np.
             of[order] = np.cumsum(new) - 1
             known = mass(c, d, all_high[of]) / np.maximum(words.count(found >> 32), 1)
             logp = np.log10(np.where(c > 0, known, weight[of] * words.p(found & 0xFFFFFFFF)))
+            del pairs, known, pieces, of, order, part
             c1 = words.count(w)
             base = np.log10((c1 + 0.1) / (words.total + 0.1 * (words.types + 1)))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
