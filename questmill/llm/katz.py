@@ -261,9 +261,9 @@ def score_texts(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id", te
     none, and without training rows every token is the unknown word, of probability 1.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = stash(map_arrow(rows, number_words, BLOCKS, tokens=block_tokens))
+    blocks = stash(map_arrow(rows, number_words, BLOCKS, tokens=block_tokens), codec="zstd")
     local = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.n").alias("n"))
-    counted = local.where("pos > 0").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("falling", -F.col("c"))
+    counted = local.where("pos > 0 and n > 0").groupBy("word").agg(F.sum("n").alias("c")).withColumn("falling", -F.col("c"))
     ranked = global_rank(counted, ["falling", "word"], "id").select("word", "c", (F.col("id") + FIRST).cast("int").alias("id"))
     texts = local.where("pos = 0").agg(F.sum("n")).first()[0] or 0
     words = Words([(r["c"], r["n"]) for r in ranked.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()], texts)
@@ -272,7 +272,7 @@ def score_texts(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id", te
     ids = numbered.groupBy("block").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
     ids = stash(map_arrow(ids, pack_numbers, "block long, ids binary"))
     asks = map_arrow(blocks.select("block", "held", "size", "tokens").join(ids, "block"), ask, ASKS, words=words, parts=parts)
-    merged = stash(asks.repartition(parts, "part").groupBy("part").applyInArrow(lambda table: merge(table, words, parts), MERGED), "kind")
+    merged = stash(asks.repartition(parts, "part").groupBy("part").applyInArrow(lambda table: merge(table, words, parts), MERGED), "kind", codec="zstd")
     counts = merged.where("kind = 'model'").select(F.explode("c").alias("c")).where(F.col("c") <= CUT + 1).groupBy("c").count()
     d = discounts({r["c"]: r["count"] for r in counts.collect()})
     shares = merged.where("kind = 'hot'").select("word", F.posexplode("pieces")).groupBy("word", "pos").agg(F.sum("col").alias("x"))

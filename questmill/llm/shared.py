@@ -25,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, *by: str) -> DataFrame:
+def stash(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on executors that were lost.
     ``by`` are columns that the table is partitioned by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
