@@ -2,7 +2,9 @@
 
 A page becomes a tree of block elements; subtrees that are furniture by tag, role or class (menus, headers, footers, sidebars,
 notices, adverts, forms, comments) are left out; a header inside an article is the article's own and stays. A class or id alone does not drop an element that holds ``main``, the page's
-largest article or nearly all of its text: such names also stand on wrappers. Every block of text passes points for its length and its commas to its ancestors,
+largest article or nearly all of its text: such names also stand on wrappers. Inside the main element or the largest article, names that
+an article's own parts may have too (header, side, social, ...) drop no heading, no paragraph and nothing that holds a heading, but
+what is full of links or short. Every block of text passes points for its length and its commas to its ancestors,
 fewer with each level; an element's points are discounted by the share of its text that stands in links. The best element, its
 enclosing article if there is one, and siblings with enough points of their own are the main text.
 """
@@ -30,6 +32,9 @@ CLASSES = frozenset(
     "header masthead footer foot colophon copyright comment comments commentlist respond replies reply disqus discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal "
     "overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets skip outbrain taboola hidden".split()
 )
+#: Of these, names that parts of an article's own text have too.
+WEAK = frozenset("side aside banner header masthead foot footer copyright social promotion alert alerts notice notices notification notifications discussion related hidden search skip".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("html body head".split())
 BONUS = {"article": 30.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "address": -3.0}
 #: An open element of the first kind ends where one of the second kind begins, up to an element of the third kind.
@@ -39,6 +44,8 @@ NO_LEVELS: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
 LEVELS = 6
 #: Shares of a page's text outside links: an element with so much is no furniture by name, nor one around an article with so much.
 NEARLY_ALL, ARTICLE_SHARE = 0.8, 0.25
+#: An element with a weak name inside the article goes where links are so much of its text, or it is so short and holds no heading.
+LINKED_SHARE, SHORT = 0.4, 150
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -62,19 +69,20 @@ def is_furniture(tag: str, attributes: str) -> bool:
     return False
 
 
-def is_named_furniture(tag: str, attributes: str) -> bool:
-    """Whether a word of an element's class or id says that it is furniture."""
+def is_named_furniture(tag: str, attributes: str) -> int:
+    """Whether a word of an element's class or id says that it is furniture: 2, or 1 where all such words are weak, else 0."""
     if tag in NEVER_BY_CLASS or not attributes or attributes.isspace():
-        return False
+        return 0
     values = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
-    return any(p.lower() in CLASSES for value in values for p in NAME_PARTS.findall(value))
+    found = {p.lower() for value in values for p in NAME_PARTS.findall(value)} & CLASSES
+    return 0 if not found else 2 if found - WEAK else 1
 
 
 class Page:
     """Block elements of one page and its blocks of text, in page order."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped, self.named = ["#root"], [-1], [False], [False]
+        self.tags, self.parents, self.dropped, self.named = ["#root"], [-1], [False], [0]
         self.blocks: list[tuple[str, int, int, int]] = []  # text, element, characters in links, links
         self._parse(source)
         if any(self.named):
@@ -83,17 +91,26 @@ class Page:
     def _drop_named(self) -> None:
         """Drop what is furniture by name, except around the main text."""
         n = len(self.tags)
-        free, holds = [0] * n, [tag == "main" and not out for tag, out in zip(self.tags, self.dropped, strict=True)]
+        free, linked, heads = [0] * n, [0] * n, [tag in HEADINGS for tag in self.tags]
+        holds = [tag == "main" and not out for tag, out in zip(self.tags, self.dropped, strict=True)]
         for text, at, in_links, _ in self.blocks:
             free[at] += len(text) - in_links
+            linked[at] += in_links
         for i in range(n - 1, 0, -1):  # children come after their parents
             free[self.parents[i]] += free[i]
+            linked[self.parents[i]] += linked[i]
+            heads[self.parents[i]] |= heads[i]
         article = max((i for i in range(n) if self.tags[i] == "article" and not self.dropped[i]), key=lambda i: (free[i], -i), default=0)
         holds[article] |= article > 0 and free[article] >= ARTICLE_SHARE * free[0]
+        inside = list(holds)
         for i in range(n - 1, 0, -1):
             holds[self.parents[i]] |= holds[i]
         for i in range(1, n):
+            inside[i] |= inside[self.parents[i]]
             named = self.named[i] and not holds[i] and free[i] < NEARLY_ALL * free[0]
+            if named and self.named[i] == 1 and inside[i]:
+                own = self.tags[i] == "p" or heads[i] or free[i] >= SHORT
+                named = linked[i] > LINKED_SHARE * (free[i] + linked[i]) or not own
             self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or named
         self.blocks = [b for b in self.blocks if not self.dropped[b[1]]]
 
@@ -245,9 +262,15 @@ class Page:
         for i in range(n - 1, 0, -1):
             links[self.parents[i]] += links[i]
         listing = [self.tags[i] in ("ul", "ol", "div", "table") and links[i] >= 3 and linked[i] > 0.6 * max(chars[i], 1) for i in range(n)]
+        first, last = {}, {}
+        for i in range(1, n):
+            if self.tags[i] == "p" and chars[i] > 2 * linked[i]:
+                first.setdefault(self.parents[i], i)
+                last[self.parents[i]] = i
         for i in range(1, n):
             p = self.parents[i]
-            keep[i] = (keep[i] or keep[p]) and not (listing[i] and i != best)
+            between = self.tags[i] in ("ul", "ol") and first.get(p, n) < i < last.get(p, 0)  # a list between paragraphs is text
+            keep[i] = (keep[i] or keep[p]) and not (listing[i] and not between and i != best)
         return [text for text, at, _, _ in self.blocks if keep[at]]
 
 

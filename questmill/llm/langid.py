@@ -4,8 +4,8 @@ Emission scores come from hashed features of a word (the word itself, affixes, c
 lexicon it belongs to); transition scores are learned with them. Forward-backward over overlapping windows gives every word's
 posterior, so code-switched text is labelled word by word. A document's language is the one with the largest mean posterior.
 
-The model learns from a bounded sample: at most ``TRAIN_DOCS`` documents a language, those with the smallest hash of id and text among
-the documents of at most ``TRAIN_CHARS`` characters; at most ``TRAIN_WORDS`` of their words a language. Prediction reads every text whole.
+The model learns from a bounded sample: at most ``TRAIN_DOCS`` documents a language, those with the smallest hash of id and text,
+of a longer text a stretch of ``TRAIN_CHARS`` characters; at most ``TRAIN_WORDS`` of their words a language. Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import map_arrow, pick
+from .shared import map_arrow, named, pick, stretch
 
 TRAIN_DOCS = 150
 TRAIN_CHARS = 20_000
@@ -33,8 +34,8 @@ OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(token: str) -> str:
-    """A token's letters in lower case; tokens without one are no words."""
-    return token.lower() if token.isalpha() else OTHER.sub("", token).lower()
+    """A token's letters in lower case; tokens without one are no words. Fractions, raised and enclosed digits are no letters."""
+    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, OTHER.sub("", token))).lower()
 
 
 def _hash(kind: int, *codes: np.ndarray) -> np.ndarray:
@@ -265,10 +266,11 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(lang, text) for _, lang, text in rows]))], pa.binary())], ["model"])
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
     """Train in one task on at most ``train_docs`` documents a language that are labelled and not held out, those with the smallest
-    hash of id and text; None if there are none. The driver sees a count a language and the model."""
-    base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= TRAIN_CHARS))
+    hash of id and text; None if there are none. Of a text above ``train_chars`` characters a stretch of that length is read, from
+    a place that the hash names, so a language of long documents alone is learned too. The driver sees a count a language and the model."""
+    base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
     limits = {r["lang"]: 1.5 * (train_docs + 100) / r["count"] for r in base.groupBy("lang").count().collect()}
     if not limits:
@@ -277,7 +279,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     limit = F.create_map(*(F.lit(x) for lang, share in limits.items() for x in (lang, int((1 << 63) * min(share, 1 - 2**-53)))))
     first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
     near = base.withColumn("order", order).where(F.col("order") <= F.element_at(limit, F.col("lang")))
-    sample = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= train_docs).select("lang", "text", "n").repartition(1)
+    sample = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= train_docs).select("lang", stretch(F.col("text"), F.col("order"), train_chars).alias("text"), "n").repartition(1)
     models = map_arrow(sample, _train_task, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else None
 
@@ -289,7 +291,7 @@ def with_language(docs: DataFrame, model: Model | None, *, text_col: str = "text
     # columns travel under numbers, so that no name of the input can clash; a column called as a result is replaced
     kept = [c for c in docs.columns if c not in names]
     numbered = [f"c{i}" for i in range(len(kept))]
-    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(numbered, kept, strict=True))
-    rows = docs.select(F.lit(0).alias("__n"), F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`").alias(n) for n, c in zip(numbered, kept, strict=True)))
-    out = map_arrow(rows, _predict, f"{fields}__lang_pred string, __score double", model=model)
+    fields = [StructField(n, docs.schema[c].dataType) for n, c in zip(numbered, kept, strict=True)]
+    rows = docs.select(F.lit(0).alias("__n"), F.col(f"`{text_col}`").alias("__text"), *(named(c).alias(n) for n, c in zip(numbered, kept, strict=True)))
+    out = map_arrow(rows, _predict, StructType([*fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())]), model=model)
     return out.select(*(F.col(n).alias(c) for n, c in zip(numbered, kept, strict=True)), F.col("__lang_pred").alias(names[0]), F.col("__score").alias(names[1]))

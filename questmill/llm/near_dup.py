@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, map_arrow, pick, stash
+from .shared import columns_of, components, map_arrow, pick, stash
 
 BANDS, ROWS, BITS = 32, 6, 2
 HASHES = BANDS * ROWS
 SLACK = 0.14
+#: The lowest similarity that the bands find with all but certainty.
+LEAST_PERCENT = 80
 TILE_ROWS = 4096
 TILE_SHINGLES = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -306,7 +308,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doc_id reachable by links. Null or empty text: no shingles, linked with nothing, kept. Rows that repeat a doc_id and its text
     give the same row as often as they occur; rows of one doc_id with different texts are judged each by its own text. Null doc_id:
     component null and kept true, linked with nothing. Other columns of the input are ignored. An empty table gives an empty result.
+    The bands are made for a similarity of 0.8 and more; a lower ``percent`` is refused, since it would lose links.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be at least {LEAST_PERCENT}")
     out = _judge(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, tile_rows=tile_rows, tile_shingles=tile_shingles)
     return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -315,13 +320,16 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Rows of ``docs``, one of each group of near copies: the one with the smallest doc_id.
 
     Rows are told apart by doc_id and text. Different texts under one doc_id all stay unless they are near copies; of near copies
-    under the smallest doc_id of their group one text stays, chosen by hashes. Rows that repeat doc_id and text stay once, with the
-    smallest of their other columns. Every row with a null doc_id stays.
+    under the smallest doc_id of their group one text stays, chosen by hashes. Rows that repeat doc_id and text stay once, the one
+    whose other columns come first as JSON text. Every row with a null doc_id stays. Columns keep their values, whatever their names
+    and types.
     """
     judged = _judge(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, tile_rows=TILE_ROWS, tile_shingles=TILE_SHINGLES)
     first = judged.where("doc_id = component_id and digest <=> head")
     texts = first.groupBy("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("text_key")).alias("empty")).agg(F.min("text_key").alias("__key"))
     chosen = texts.select(F.col("doc_id").alias("__id"), "__key")
-    rows = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__key", text_key(F.col(f"`{text_col}`")))
-    once = rows.join(chosen, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    others = [c for name, c in zip(docs.columns, columns_of(docs), strict=True) if name not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), text_key(F.col(f"`{text_col}`")).alias("__key"), order.alias("__order"), F.struct(*columns_of(docs)).alias("__row"))
+    once = rows.join(chosen, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min_by("__row", "__order").alias("__row"))
     return once.select("__row.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

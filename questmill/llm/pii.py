@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .langid import forward_backward
-from .shared import map_arrow, pick, sample_rows, text_list
+from .shared import map_arrow, pick, sample_rows, stretch, text_list
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -583,12 +584,12 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts))], pa.binary())], ["model"])
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Tagger:
-    """Train on a bounded sample: at most ``train_docs`` documents with a trigger and of at most ``TRAIN_CHARS`` characters, those
-    with the smallest hash of id and text. Without any, invented spans in plain text are all there is. One task trains; the driver
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Tagger:
+    """Train on a bounded sample: at most ``train_docs`` documents with a trigger, those with the smallest hash of id and text, and
+    of a text above ``train_chars`` characters a stretch of that length. Without any, invented spans in plain text are all there is. One task trains; the driver
     sees the model alone."""
-    base = pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("text").rlike("[0-9@]"))
-    sample = sample_rows(base, train_docs, "doc_id", "text").select("text").repartition(1)
+    base = pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull() & F.col("text").rlike("[0-9@]"))
+    sample = sample_rows(base, train_docs, "doc_id", "text").select(stretch(F.col("text"), F.xxhash64("doc_id", "text"), train_chars).alias("text")).repartition(1)
     models = map_arrow(sample, _train_task, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else train([])
 
@@ -610,7 +611,7 @@ def redact_documents(docs: DataFrame, tagger: Tagger, *, text_col: str = "text")
     names. Rows are read one by one, repeats alike; a run of overlapping spans is replaced once, by the kind of its first."""
     # columns travel under numbers, so that no name of the input can clash
     names = [f"c{i}" for i in range(len(docs.columns))]
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    fields = StructType([StructField("__redacted", StringType()), *(StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True))])
     rows = docs.toDF(*names)
-    out = map_arrow(rows.select(F.col(names[docs.columns.index(text_col)]).alias("__text"), *names), _redact, f"__redacted string, {fields}", tagger=tagger)
+    out = map_arrow(rows.select(F.col(names[docs.columns.index(text_col)]).alias("__text"), *names), _redact, fields, tagger=tagger)
     return out.select(*(F.col("__redacted" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

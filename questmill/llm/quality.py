@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, sample_rows
+from .shared import named, pick, sample_rows
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
@@ -104,7 +104,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     trusted = sample_rows(good, target_docs, "doc_id")
     corpus = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     table = F.split(F.lit(",".join(map(repr, weights(gram_counts(corpus, trusted))))), ",").cast("array<double>")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != name)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != name)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", _words(F.col("text"))).withColumn("grams", _hashes("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     rows = _repeat_words(rows)

@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ARROW_ROWS = 1000
 
@@ -40,7 +41,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_arrow(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, **fixed) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str | StructType, **fixed) -> DataFrame:
     """``mapInArrow`` in small batches; ``fixed`` are small arguments that travel with the function."""
     return small_batches(df).mapInArrow(partial(fn, **fixed) if fixed else fn, schema)
 
@@ -105,6 +106,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     raise RuntimeError(f"labels of connected components still move after {max_rounds} rounds")
 
 
+def stretch(text: Column, order: Column, length: int) -> Column:
+    """At most ``length`` characters of a text: of a longer one those from a place that ``order``, a number of the row, names."""
+    start = F.pmod(order, F.greatest(F.length(text) - length, F.lit(0)) + 1).cast("int") + 1
+    return F.when(F.length(text) > length, F.substr(text, start, F.lit(length))).otherwise(text)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores after it where a column is called so."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """A column by its exact name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
 def text_list(column: pa.Array) -> list[str]:
     """Python strings of a batch's column; null becomes the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

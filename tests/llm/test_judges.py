@@ -239,3 +239,19 @@ def test_forward_backward_is_exact():
         for t in range(4):
             pairs[path[t], path[t + 1]] += p
     assert np.allclose(post[0], want / total) and np.allclose(moves, pairs / total)
+
+
+def test_texts_without_a_letter_are_undetermined(spark, documents):
+    model = langid.fit(documents)
+    rows = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "12 -- 7_8"), (4, None), (5, "Ⅷ ٣"), (6, "² the")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.with_language(rows, model).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (1, 2, 3, 4, 5)) and got[6][0] != "und"
+
+
+def test_a_language_of_long_documents_alone_is_learned(spark, documents):
+    rows = [(k, " ".join(f"zug{chr(97 + (i * k) % 26)}om" for i in range(4000)), "xx") for k in range(40)]
+    both = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = langid.fit(both)
+    assert "xx" in model.languages
+    told = langid.with_language(spark.createDataFrame([(1, "zugaom zugbom zugcom zugdom")], "doc_id long, text string"), model).first()
+    assert told.lang_pred == "xx"

@@ -101,3 +101,8 @@ def test_signature_estimate_counts_equal_symbols():
     y[0, 0], y[0, 3] = 5, 4
     assert _equal_symbols(x, y)[0] == HASHES - 2
     assert matches_needed(1.0) == HASHES
+
+
+def test_a_percent_that_the_bands_do_not_serve_is_refused(documents):
+    with pytest.raises(ValueError, match="at least 80"):
+        near_duplicates(documents, percent=79)

@@ -159,3 +159,25 @@ def test_labels_of_any_type(spark):
     rows = [(1, v, "a"), (2, near, "a"), (3, v, "b"), (4, near, None)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+LONG = "It was a long day, with rain in the morning, and the road went on for many miles. " * 4
+
+
+@pytest.mark.parametrize(
+    "part,want",
+    [
+        ('<h2 class="section-header">The second part</h2>', "The second part"),
+        ('<div class="post-header"><h1>A title of its own</h1></div>', "A title of its own"),
+        ('<p class="social-history">A paragraph on how people lived.</p>', "A paragraph on how people lived."),
+        ('<ul><li><a href="a">first</a></li><li><a href="b">second</a></li><li><a href="c">third</a></li></ul>', "first\nsecond\nthird"),
+        ('<div class="comments"><h3>Comments</h3><p>I do not agree, said one.</p></div>', ""),
+        ('<div class="related"><h3>Related</h3><a href="a">Another page to read</a> <a href="b">One more of them</a></div>', ""),
+        ('<div class="share-header"><h3>Share</h3></div>', ""),
+        ('<div class="post-footer">Posted by someone</div>', ""),
+    ],
+)
+def test_names_inside_an_article(part, want):
+    page = f"<html><body><nav>Home</nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body></html>"
+    body = LONG.strip()
+    assert main_text(page) == "\n".join([body, *([want] if want else []), body])

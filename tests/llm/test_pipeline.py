@@ -1,5 +1,7 @@
 """The stages against plain versions of what each decides, and the registered queries against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -59,3 +61,21 @@ def test_sql(spark, small, name):
     columns = sorted(got.columns)
     assert sorted(want.columns) == columns
     assert sorted(map(tuple, want.df()[columns].values.tolist())) == sorted(map(tuple, got.toPandas()[columns].values.tolist()))
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, small, tmp_path):
+    rng = random.Random(1)
+    kept = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c``d` int, m map<string,int>, s struct<`x.y`:int>, __id int, __key string, __quality string, __lang int, __share string, __row int, __order int, kept int, __text string"
+    base = spark.read.parquet(f"{small}/documents.parquet").where("lang is not null").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, f"a{k}", k, {"k": k} if k % 3 else None, (k,), 7, f"key {rng.random()}", "q", k, "share", 5, 6, 8, "t") for k, r in enumerate(base)]
+    docs = spark.createDataFrame(rows, kept)
+    want = {r[0]: r for r in rows}
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.language_id, corpus_pipeline.near_dedup, corpus_pipeline.personal_data):
+        docs = stash(stage(spark, docs, small))
+        assert docs.columns == [f.name for f in spark.createDataFrame([], kept).schema]
+        got = docs.collect()
+        assert len(got) > 10
+        for r in got:
+            same = [(x, y) for k, (x, y) in enumerate(zip(r, want[r.doc_id], strict=True)) if k not in (1, 4)]
+            assert all(tuple(x) == y if isinstance(x, tuple) else x == y for x, y in same)
+    assert corpus_pipeline.packing(spark, docs, small).count() >= docs.count()
