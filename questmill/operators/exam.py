@@ -7,6 +7,7 @@ reached it. Random order is a hash of item and seed, so a selection can be deriv
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,10 @@ from .library import preset_pool
 
 # The caps of the reference, for callers who want its very results; without them any total is solved.
 CAP_EXACT, CAP_CLOSEST = 200, 220
+# What a request is told where too few questions are unattempted.
+UNATTEMPTED_FEW, UNATTEMPTED_NONE = "Unattempted-only mode (supplemented with attempted questions)", "Unattempted-only mode (no unattempted questions remaining)"
+#: Presets are a list that people keep.
+MOST_PRESETS = 10_000
 
 
 def _reach(marks: list[int], most: int, stop_at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +199,15 @@ def seeded_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(key, F.lit(seed)))
 
 
-def soft_filter(df: DataFrame, by: list[str], wanted: Column) -> DataFrame:
-    """Keep a group's wanted rows; a group without any keeps all of its rows."""
-    some = F.max(F.coalesce(wanted, F.lit(False)).cast("int")).over(Window.partitionBy(*by))
-    return df.withColumn("__some", some).where((F.col("__some") == 0) | wanted).drop("__some")
+def soft_filter(df: DataFrame, by: list[str], wanted: Column, note: str = "") -> DataFrame:
+    """Keep a group's wanted rows; a group without any keeps all of its rows, and where the rows have a list ``relaxed``, ``note`` is
+    added to it. One flag a group is aggregated and joined back; no group's rows meet in one task."""
+    some = df.where(wanted).select(*(F.col(c).alias(f"__{c}") for c in by)).distinct().withColumn("__some", F.lit(True))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    out = df.join(some, same, "left").where(F.col("__some").isNull() | wanted)
+    if note and "relaxed" in df.columns:
+        out = out.withColumn("relaxed", F.when(F.col("__some").isNull(), F.array_append("relaxed", F.lit(note))).otherwise(F.col("relaxed")))
+    return out.select(*df.columns)
 
 
 def prepare_pool(df: DataFrame, *, mode: str = "balanced", structure: str = "authentic", units: list[str] | None = None, subtopics: list[str] | None = None, seed: str = "1") -> DataFrame:
@@ -206,20 +216,24 @@ def prepare_pool(df: DataFrame, *, mode: str = "balanced", structure: str = "aut
 
     Unit, type and subtopic are soft constraints. Unattempted-only is used where it leaves enough marks. Priorities: 50; review
     first 300 for bookmarked or wrong, 100 unattempted, else 20; unattempted only 250 or 40; 150 more for a chosen subtopic; up to 40
-    by the seeded hash.
+    by the seeded hash. ``relaxed`` lists the constraints of a request that its questions could not meet.
     """
-    df = df.where("marks > 0")
+    df = df.where("marks > 0").withColumn("relaxed", F.array().cast("array<string>"))
     if units:
-        df = soft_filter(df, ["request"], F.col("unit").isin(units))
+        df = soft_filter(df, ["request"], F.col("unit").isin(units), f"Unit filter ({', '.join(units)})")
     if structure in ("theory_only", "mcq_sprint"):
-        df = soft_filter(df, ["request"], F.col("kind") == ("mcq" if structure == "mcq_sprint" else "theory"))
+        df = soft_filter(df, ["request"], F.col("kind") == ("mcq" if structure == "mcq_sprint" else "theory"), "MCQ-only filter" if structure == "mcq_sprint" else "Theory-only filter")
     if subtopics:
-        df = soft_filter(df, ["request"], F.col("subtopic").isin(subtopics))
+        df = soft_filter(df, ["request"], F.col("subtopic").isin(subtopics), "Selected topic/subtopic filter")
     status = F.coalesce("status", F.lit("unattempted"))
     if mode == "unattempted_only":
         fresh = status == "unattempted"
-        enough = F.sum(F.when(fresh, F.col("marks")).otherwise(0)).over(Window.partitionBy("request")) >= F.col("target")
-        df = df.withColumn("__enough", enough).where(~F.col("__enough") | fresh).drop("__enough")
+        sums = df.groupBy(F.col("request").alias("__request")).agg(F.sum(F.when(fresh, F.col("marks")).otherwise(0)).alias("__marks"), F.sum(fresh.cast("long")).alias("__fresh"), F.count(F.lit(1)).alias("__all"))
+        both = df.join(sums, F.col("request").eqNullSafe(F.col("__request")))
+        enough = (F.col("__fresh") > 0) & (F.col("__marks") >= F.col("target"))
+        note = F.when(enough, None).when(F.col("__fresh") == 0, UNATTEMPTED_NONE).when(F.col("__fresh") < F.col("__all"), UNATTEMPTED_FEW)
+        both = both.withColumn("relaxed", F.when(note.isNotNull(), F.array_append("relaxed", note)).otherwise(F.col("relaxed")))
+        df = both.where(~enough | fresh).select(*df.columns)
         base = F.when(fresh, 250).otherwise(40)
     elif mode == "review_first":
         base = F.when(F.coalesce("is_bookmarked", F.lit(False)) | status.isin("review", "incorrect"), 300).when(status == "unattempted", 100).otherwise(20)
@@ -243,7 +257,10 @@ def preset_requests(questions: DataFrame, presets: DataFrame, families: list[str
     (request, target). Presets are a short list, and each takes part in one equi-join."""
     named = preset_pool(questions, presets.where("lower(unit_code) <> 'all'"), families)
     whole = presets.join(named.select("preset").distinct(), "preset", "left_anti")
-    every = questions.withColumn("__any", F.lit(1)).join(whole.select("preset", F.lit(1).alias("__any")), "__any").drop("__any")
+    names = sorted(r["preset"] for r in whole.select("preset").distinct().limit(MOST_PRESETS + 1).collect())
+    if len(names) > MOST_PRESETS:
+        raise ValueError(f"more than {MOST_PRESETS} presets")
+    every = questions.withColumn("preset", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
     wanted = presets.select("preset", "target", F.col("kind").alias("__kind"))
     pool = named.unionByName(every).join(wanted, "preset").withColumnRenamed("preset", "request")
     some = pool.where("kind = __kind").select("request").distinct().withColumn("__some", F.lit(True))

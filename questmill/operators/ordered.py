@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,15 +61,31 @@ def keep_best(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def round_robin(df: DataFrame, by: list[str], bucket: str, order: list, name: str = "turn") -> DataFrame:
-    """Deal rows bucket by bucket: first each bucket's first, then each bucket's second."""
-    within = Window.partitionBy(*by, bucket).orderBy(*order)
-    dealt = df.withColumn("__n", F.row_number().over(within))
-    return dealt.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("__n", bucket))).drop("__n")
+def group_rank(df: DataFrame, by: list[str], chunk: Column, order: list, name: str = "place") -> DataFrame:
+    """The place of each row in its group, from 1, in ``order``, of which ``chunk`` is a part that comes first (a prefix of the key, a
+    block of numbers): rows are sorted by chunk alone, and a chunk begins after the rows of the chunks before it. A group of any
+    size is so spread over tasks; only a count a chunk meets in a group's window."""
+    df = df.withColumn("__chunk", chunk)
+    within = F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(*order))
+    before = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*by, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__chunk").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), F.col("__chunk").eqNullSafe(F.col("__of")))
+    return df.withColumn(name, within).join(starts, same).withColumn(name, F.col("__start") + F.col(name)).select(*(c for c in df.columns if c != "__chunk"), name)
 
 
-def page_of(df: DataFrame, by: list[str], order: list, size: int) -> DataFrame:
-    """Position, page and neighbours of each row in its sorted group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.row_number().over(w)
-    return df.withColumn("position", n).withColumn("page", F.floor((F.col("position") - 1) / size) + 1)
+def round_robin(df: DataFrame, by: list[str], bucket: str, order: list, name: str = "turn") -> DataFrame:
+    """Deal rows bucket by bucket: first each bucket's first, then each bucket's second. A row's turn follows from its place in its
+    bucket and the sizes of the group's buckets, so only a count a bucket meets in one row."""
+    dealt = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
+    sizes = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.collect_list(F.struct(F.col(bucket).alias("b"), "n")).alias("__sizes"))
+    n = F.col("__n")
+    full = F.aggregate("__sizes", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], (n - 1).cast("long")))
+    ahead = F.size(F.filter("__sizes", lambda x: (x["n"] >= n) & (x["b"] <= F.col(bucket))))
+    return dealt.join(sizes, by).withColumn(name, full + ahead).drop("__n", "__sizes")
+
+
+def page_of(df: DataFrame, by: list[str], chunk: Column, order: list, size: int) -> DataFrame:
+    """Position and page of each row in its sorted group; ``chunk`` as for ``group_rank``."""
+    ranked = group_rank(df, by, chunk, order, "position")
+    return ranked.withColumn("page", F.floor((F.col("position") - 1) / size) + 1)

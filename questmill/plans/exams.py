@@ -32,13 +32,14 @@ def q_exam_full(spark, sf_dir):
     return select_exams(pool, mcq_share=0.22)
 
 
-@query("""WITH RECURSIVE m AS (SELECT o_custkey AS cust, CAST(l_quantity AS INTEGER) % 10 + 1 AS marks, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'),
+@query("""WITH RECURSIVE m AS (SELECT o_custkey AS cust, CAST(l_quantity AS INTEGER) % 10 + 1 AS marks, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 r AS (SELECT cust, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS s FROM (SELECT DISTINCT cust FROM m) UNION SELECT r.cust, m.n, unnest([s, s + marks]) FROM r JOIN m ON m.cust = r.cust AND m.n = r.n + 1 WHERE s <= 40)
 SELECT cust, count(DISTINCT s) AS sums FROM r WHERE s <= 40 GROUP BY cust""")
 def q_reachable_sums(spark, sf_dir):
-    """How many totals up to 40 each customer's open questions can reach: a fold over a set, no pairs."""
-    p = papers(spark, sf_dir).where("state = 'P'").select("paper", "cust")
-    held = lines(spark, sf_dir).join(p, "paper").groupBy("cust").agg(F.collect_list("marks").alias("marks"))
-    start = F.array(F.lit(0))
-    sums = F.aggregate("marks", start, lambda acc, m: F.array_union(acc, F.filter(F.transform(acc, lambda s: s + m), lambda s: s <= 40)))
-    return held.select("cust", F.size(sums).cast("long").alias("sums"))
+    """How many totals up to 40 each customer's questions can reach: a fold over a set, no pairs. Of equal marks m no more than 40 / m
+    can be used, so a count for each mark is all that a customer's row holds."""
+    held = lines(spark, sf_dir).join(papers(spark, sf_dir).select("paper", "cust"), "paper").groupBy("cust", "marks").agg(F.count(F.lit(1)).alias("n"))
+    used = F.array_repeat(F.col("marks"), F.least("n", F.floor(40 / F.col("marks"))).cast("int"))
+    marks = held.select("cust", used.alias("marks")).groupBy("cust").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    sums = F.aggregate("marks", F.array(F.lit(0)), lambda acc, m: F.array_union(acc, F.filter(F.transform(acc, lambda s: s + m), lambda s: s <= 40)))
+    return marks.select("cust", F.size(sums).cast("long").alias("sums"))

@@ -86,7 +86,7 @@ def q_progress_pct(spark, sf_dir):
 
 @query(f"WITH {Q} SELECT unit, year, id, position, CAST((position - 1) // 15 + 1 AS BIGINT) AS page FROM (SELECT *, row_number() OVER (PARTITION BY unit, year ORDER BY paper, number, part, supp, shipped, quantity) AS position FROM q)")
 def q_page_numbers(spark, sf_dir):
-    out = page_of(questions(spark, sf_dir), ["unit", "year"], ["paper", "number", *TIES], 15)
+    out = page_of(questions(spark, sf_dir), ["unit", "year"], F.floor(F.col("paper") / 1024), ["paper", "number", *TIES], 15)
     return out.select("unit", "year", "id", F.col("position").cast("long").alias("position"), F.col("page").cast("long").alias("page"))
 
 

@@ -10,6 +10,7 @@ from ..operators import library as L
 from ..operators import structure as S
 from ..operators.exam import prepare_pool, preset_requests, seeded_order, select_exams, soft_filter
 from ..operators.explore import FilterSpec
+from ..operators.ordered import group_rank
 from ..operators.normalize import box, marks_of, normalize, question_type, subject
 from ..operators.taxonomy import apply_rules, consistency, led_by, promote, replaced, resolve_number, scoped, specific_first, stripped
 from ..registry import query
@@ -115,8 +116,9 @@ def q_primary_only(spark, sf_dir):
 
 @query("SELECT part, row_number() OVER (PARTITION BY size ORDER BY CASE WHEN unit = 'Brand#12' THEN 0 ELSE 1 END, unit, part) AS place FROM (SELECT " + PARTS + " FROM part)")
 def q_active_first(spark, sf_dir):
-    w = Window.partitionBy("size").orderBy(*L.active_first(F.col("unit"), "Brand#12"), "unit", "part")
-    return parts(spark, sf_dir).select("part", F.row_number().over(w).cast("long").alias("place"))
+    first = L.active_first(F.col("unit"), "Brand#12")
+    chunk = F.struct(*(c.alias(f"k{k}") for k, c in enumerate(first)), "unit")
+    return group_rank(parts(spark, sf_dir), ["size"], chunk, ["part"]).select("part", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 600 >= 300 THEN 1 ELSE 0 END, event_id % 37, event_id % 600, event_id) AS place FROM events")
@@ -394,13 +396,17 @@ def q_consistency(spark, sf_dir):
     """Rows classified by maker (the head of a brand) and brand against the brands of each maker."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"), F.substring("p_brand", 1, 7).alias("maker"), F.col("p_brand").alias("brand"))
     legal = p.groupBy("maker").agg(F.collect_set("brand").alias("legal"))
-    known = p.agg(F.collect_set("brand").alias("known"), F.collect_set("maker").alias("makers")).withColumn("one", F.lit(1))
+    # the syllabus is small: its labels are literals of the plan, and their number is checked
+    names = [sorted(r[0] for r in p.select(c).distinct().limit(10_001).collect()) for c in ("brand", "maker")]
+    if max(map(len, names)) > 10_000:
+        raise ValueError("more than 10,000 labels are no syllabus")
+    known, makers = (F.array(*map(F.lit, held)) for held in names)
     k, m = F.col("size") % 7, F.col("size") % 3
     main = F.when(k == 1, "General").when(k != 2, F.col("brand"))
     topic = F.when(F.col("size") % 5 == 0, "Brand#1").otherwise(F.col("maker"))
     rest = F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("odd"), F.lit("odder"))).otherwise(F.array("brand", "brand"))
-    rows = p.join(legal, "maker").withColumn("one", F.lit(1)).join(known, "one").withColumns({"main": main, "topic": topic, "rest": rest, "older": F.when(m == 0, F.col("maker")).otherwise(topic)})
-    codes = consistency(F.col("topic"), F.col("main"), F.col("rest"), F.col("older"), F.col("main"), F.array("maker"), F.when(F.col("main").isNotNull(), F.array("main")), F.col("maker"), legal=F.col("legal"), known=F.col("known"), topics=F.col("makers"))
+    rows = p.join(legal, "maker").withColumns({"main": main, "topic": topic, "rest": rest, "older": F.when(m == 0, F.col("maker")).otherwise(topic)})
+    codes = consistency(F.col("topic"), F.col("main"), F.col("rest"), F.col("older"), F.col("main"), F.array("maker"), F.when(F.col("main").isNotNull(), F.array("main")), F.col("maker"), legal=F.col("legal"), known=known, topics=makers)
     return rows.select("part", F.array_join(codes, ",").alias("issues"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import ghost_purge, latest, partial_latest, toggled
-from ..operators.ordered import before_cutoff, carry_forward, fold_machine, islands, keep_best, round_robin, running_max
+from ..operators.ordered import before_cutoff, carry_forward, fold_machine, group_rank, islands, keep_best, round_robin, running_max
 from ..registry import query
 from .base import Q, TIES, lines, many, questions, table
 
@@ -94,8 +94,9 @@ def q_exam_order_science(spark, sf_dir):
 
 @query("SELECT p_brand AS topic, p_partkey AS part, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey || 'seed'), p_partkey) AS place FROM part")
 def q_seeded_shuffle(spark, sf_dir):
-    w = Window.partitionBy("p_brand").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("seed")).cast("binary")), "p_partkey")
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("part"), F.row_number().over(w).cast("long").alias("place"))
+    key = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("seed")).cast("binary"))
+    keyed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("part"), key.alias("key"))
+    return group_rank(keyed, ["topic"], F.substring("key", 1, 2), ["key", "part"]).select("topic", "part", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT user_id AS id FROM events UNION SELECT c_custkey FROM customer UNION SELECT s_suppkey FROM supplier UNION SELECT conv_id FROM conversations")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, text
+from ..operators.ordered import group_rank
 from ..operators.taxonomy import apply_rules, classify_by_keywords, code_index, promote, resolve
 from ..registry import query
 from .base import lines, many, papers, table
@@ -23,11 +24,9 @@ def q_slug(spark, sf_dir):
 
 @query(r"""SELECT p_brand AS topic, p_partkey AS part, row_number() OVER (PARTITION BY p_brand ORDER BY array_to_string(list_transform(regexp_extract_all(lower('Q' || p_size || '(' || p_type || ')'), '(\d+|\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\1')) AS VARCHAR), 8, '0') || regexp_replace(x, '^0+(.)', '\1') ELSE x END), ''), p_partkey) AS place FROM part""")
 def q_natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     label = F.concat(F.lit("Q"), F.col("p_size").cast("string"), F.lit("("), F.col("p_type"), F.lit(")"))
-    w = Window.partitionBy("p_brand").orderBy(keys.natural_key(label), "p_partkey")
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("part"), F.row_number().over(w).cast("long").alias("place"))
+    keyed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("part"), keys.natural_key(label).alias("key"))
+    return group_rank(keyed, ["topic"], F.col("key"), ["part"]).select("topic", "part", F.col("place").cast("long").alias("place"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'do not write in this area', ' ', 'gi'), '\*P\d+[A-Z0-9]+\*', ' ', 'g'), '[._]{4,}', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
