@@ -94,3 +94,41 @@ def mime_type(c: Column) -> Column:
 def join_context(*parts: Column) -> Column:
     """Optional parts with bars between; nulls and empties leave no bar."""
     return F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts))
+
+
+def encode_segment(c: Column) -> Column:
+    """One segment of a path percent-encoded as browsers do, after it was decoded where it can be."""
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
+    out = F.regexp_replace(F.url_encode(decoded), r"\+", "%20")
+    for code, sign in (("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+def versioned(path: Column, key: Column, versions: Column) -> Column:
+    """A path with ``v=`` of its version, which the map ``versions`` knows by the key, else by path, file name or file name without its
+    ending; a path that has a version, or none in the map, stays. Null is empty."""
+    path = F.coalesce(path, F.lit(""))
+    bare = F.split(path, r"\?")[0]
+    name = F.regexp_replace(bare, "^.*/", "")
+    of = lambda k: F.nullif(F.try_element_at(versions, F.coalesce(k, F.lit(""))), F.lit(""))
+    version = F.coalesce(of(key), of(bare), of(name), of(F.regexp_replace(name, r"\.[^/.]+$", "")))
+    sep = F.when(path.contains("?"), "&").otherwise("?")
+    asked = path.contains("?v=") | path.contains("&v=") | (path == "") | version.isNull()
+    return F.when(asked, path).otherwise(F.concat(path, sep, F.lit("v="), version))
+
+
+def image_url(paths: list[Column], key: Column, versions: Column, base: str, prefixes: list[str]) -> Column:
+    """The address of an image: the first of its paths that is not empty, with its version; full addresses stay, others begin with a slash,
+    are encoded by segment, and stand behind ``base`` where one of ``prefixes`` begins them. No path: empty."""
+    path = F.coalesce(*(F.nullif(F.trim(p), F.lit("")) for p in paths), F.lit(""))
+    full = versioned(path, key, versions)
+    rooted = F.when(full.startswith("/"), full).otherwise(F.concat(F.lit("/"), full))
+    parts = F.split(rooted, r"\?")
+    encoded = F.array_join(F.transform(F.split(parts[0], "/"), encode_segment), "/")
+    query = F.get(parts, F.lit(1))
+    local = F.when(query != "", F.concat(encoded, F.lit("?"), query)).otherwise(encoded)
+    hosted = F.lit(False)
+    for prefix in prefixes:
+        hosted = hosted | encoded.startswith(prefix)
+    return F.when(path == "", "").when(full.rlike("^https?://"), full).when(hosted & F.lit(base != ""), F.concat(F.lit(base), local)).otherwise(local)

@@ -265,3 +265,36 @@ def preset_requests(questions: DataFrame, presets: DataFrame, families: list[str
     pool = named.unionByName(every).join(wanted, "preset").withColumnRenamed("preset", "request")
     some = pool.where("kind = __kind").select("request").distinct().withColumn("__some", F.lit(True))
     return pool.join(some, "request", "left").where("__some is null or kind = __kind").drop("__kind", "__some")
+
+
+class BuildExam:
+    """One selection for each partition of a table argument with the columns target, id, marks, order:
+
+        SELECT * FROM build_exam(TABLE(pool) PARTITION BY request ORDER BY (`order`, id))
+
+    Rows above what a request can use are not kept: of equal marks ``(target + 12) / marks + 1``, so a partition needs little memory.
+    """
+
+    def __init__(self):
+        self.rows, self.held, self.request, self.target = [], Counter(), None, 0
+
+    def eval(self, row) -> None:
+        self.request, self.target = row["request"], int(row["target"])
+        marks = row["marks"]
+        if marks and marks > 0 and self.held[marks] <= (self.target + 12) // marks:
+            self.held[marks] += 1
+            self.rows.append((row["order"], row["id"], int(marks)))
+
+    def terminate(self):
+        rows = sorted(self.rows)
+        places = closest_subset([m for _, _, m in rows], self.target)
+        total = sum(rows[i][2] for i in places)
+        for i in places:
+            yield self.request, rows[i][1], rows[i][2], total, self.target
+
+
+def register_build_exam(spark) -> None:
+    """``build_exam`` for SQL."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("build_exam", udtf(BuildExam, returnType="request string, id string, marks int, total int, target int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,6 +13,11 @@ from ..functions.keys import natural_key, series_weight
 from ..functions.text import matches_any
 
 
+#: The fields that a search looks into, and the short codes of maths units (fixed values).
+SEARCH_FIELDS = ("question_number", "topic", "main_topic", "subtopic", "main_subtopic", "stem_summary", "series", "session", "paper_code")
+UNIT_ALIASES = {"p1": "wma11", "p2": "wma12", "p3": "wma13", "p4": "wma14", "m1": "wme01", "s1": "wst01"}
+
+
 @dataclass(frozen=True)
 class FilterSpec:
     """What a user asked for; an empty list or text asks for nothing."""
@@ -26,8 +32,9 @@ class FilterSpec:
     status: str = ""
     bookmarked: bool = False
 
-    def predicate(self, search_fields: tuple[str, ...] = ("id", "unit", "topic", "subtopic")) -> Column:
-        """One conjunction over the normalised question columns: pushed to the scan as far as it reaches."""
+    def predicate(self, search_fields: tuple[str, ...] = ("id", "unit", "topic", "subtopic"), search_arrays: tuple[str, ...] = ()) -> Column:
+        """One conjunction over the normalised question columns: pushed to the scan as far as it reaches. A search looks into
+        ``search_fields`` (``SEARCH_FIELDS`` are all that a question has) and the elements of ``search_arrays``."""
         parts = [F.lit(True)]
         if self.units:
             parts.append(F.col("unit").isin(self.units))
@@ -41,7 +48,9 @@ class FilterSpec:
         if self.kind:
             parts.append(F.col("kind") == self.kind)
         if self.search:
-            parts.append(matches_any(self.search, *(F.col(c) for c in search_fields)))
+            found = matches_any(self.search, *(F.col(c) for c in search_fields))
+            low = self.search.lower()
+            parts.append(reduce(lambda a, b: a | b, (F.coalesce(F.exists(c, lambda x: F.lower(x).contains(low)), F.lit(False)) for c in search_arrays), found))
         return reduce(lambda a, b: a & b, parts)
 
     def user_predicate(self) -> Column:
@@ -82,6 +91,25 @@ def unit_matches(unit: Column, wanted: str) -> Column:
     return squeezed | head | by_digit
 
 
+def question_in_unit(unit: Column, code: Column, wanted: str) -> Column:
+    """Whether a question is of a wanted unit: by name or code without regard to case and spaces, by the short code of a maths unit, be it an
+    alias of the code or in brackets in the name, by what stands before a colon, or by the first number 1 to 6. Nulls match nothing."""
+    want = wanted.strip().lower()
+    if not want:
+        return F.lit(False)
+    low, low_code = F.lower(F.trim(F.coalesce(unit, F.lit("")))), F.lower(F.trim(F.coalesce(code, F.lit(""))))
+    digit = re.search(r"\b([1-6])\b", want)
+    head = want.split(":")[0].strip()
+    checks = [low == want, (low_code != "") & (F.regexp_replace(low_code, r"\s", "") == re.sub(r"\s", "", want)), F.regexp_extract(low, r"\(([a-z0-9]+)\)", 1) == want]
+    if want in UNIT_ALIASES:
+        checks.append(low_code == UNIT_ALIASES[want])
+    if head:
+        checks.append(F.trim(F.split(low, ":")[0]) == head)
+    if digit:
+        checks.append(F.regexp_extract(low, r"\b([1-6])\b", 1) == digit[1])
+    return reduce(lambda a, b: a | b, checks)
+
+
 def facet(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 

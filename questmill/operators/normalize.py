@@ -90,3 +90,31 @@ def box(coordinates: Column) -> Column:
 def marks_of(*sources: Column) -> Column:
     """The first source above zero, else one; the order of the sources is each subject's rule."""
     return F.coalesce(*(F.when(s > 0, s) for s in sources), F.lit(1))
+
+
+# How papers and mark schemes of maths print the marks of a question.
+TOTAL_OF_QUESTION = r"(?i)\(Total\s+for\s+Question\s+(\d+)\s+is\s+(\d{1,2})\s*marks?\)"
+TOTAL_ANY = r"(?i)\(Total\s+(?:for\s+Question\s+\d{1,2}\s+is\s+)?(\d{1,2})\s*marks?\)"
+TOTAL_PLAIN = r"(?i)\(Total\s+(\d{1,2})\s*marks?\)"
+SCHEME_MARKS = (TOTAL_ANY, r"(?i)\((\d{1,2})\s*marks?\)", r"(?i)\bTotal\s+(\d{1,2})\b", r"(?i)\[Total\s*(\d{1,2})\]")
+
+
+def last_number(text: Column, pattern: str, group: int = 1) -> Column:
+    """The last number that a pattern finds in a text; null if none."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1)).cast("int")
+
+
+def _total_of(text: Column, number: Column) -> Column:
+    """The last total that names the question."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(TOTAL_OF_QUESTION), F.lit(0)), lambda t: F.regexp_extract(t, TOTAL_OF_QUESTION, 1) == number.cast("string"))
+    return F.regexp_extract(F.try_element_at(found, F.lit(-1)), TOTAL_OF_QUESTION, 2).try_cast("int")
+
+
+def maths_marks(number: Column, paper: Column, question: Column, scheme: Column) -> Column:
+    """Marks of a maths question: the paper's total that names it, the same or a plain total in its own text, then what the mark scheme
+    says, by four patterns in order. Of several matches the last counts; 0 if there is none."""
+    # totals that name the question and plain ones are one pattern: the later of both in the text
+    both = F.filter(F.regexp_extract_all(question, F.lit(TOTAL_ANY), F.lit(0)), lambda t: t.rlike(TOTAL_PLAIN) | (F.regexp_extract(t, TOTAL_OF_QUESTION, 1) == number.cast("string")))
+    own = F.regexp_extract(F.try_element_at(both, F.lit(-1)), TOTAL_ANY, 1).try_cast("int")
+    marks = F.coalesce(*(last_number(scheme, p) for p in SCHEME_MARKS))
+    return F.coalesce(_total_of(paper, number), own, marks, F.lit(0))

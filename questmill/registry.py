@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import every module of plans, which registers its queries."""
-    from .plans import audits, explorer, exams, joins, layout, library, numeric, ordered, phrases, rules, streams, texts  # noqa: F401
+    from .plans import audits, cascades, explorer, exams, joins, layout, library, numeric, ordered, phrases, rules, streams, texts  # noqa: F401
 
 
 load()
