@@ -3,9 +3,12 @@ taxonomy search and diagnostics, answers, carts, sign-outs."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_latex
 from .match import fallback_join
 
 # What a status is called.
@@ -175,3 +178,39 @@ def carts(events: DataFrame, user: str, item: str, order: list[str], added: Colu
     fresh = rows.withColumn("fresh", F.col("added") & ~F.coalesce(F.lag("added").over(w), F.lit(False)))
     last = fresh.groupBy(user, item).agg(F.max_by("added", "at").alias("held"), F.max(F.when(F.col("fresh"), F.col("at"))).alias("since")).where("held")
     return last.select(user, item, F.row_number().over(Window.partitionBy(user).orderBy("since")).alias("place"))
+
+
+def unfenced(raw: Column) -> Column:
+    """A text without the marks of a code block around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+
+
+def answers_of(raw: Column, element: str, field: str = "questions") -> Column:
+    """array of ``element`` (a DDL type) from an answer in JSON: a list, or an object that holds one as ``field``, in a code block or not. An
+    object without it is one element; what is no JSON is null."""
+    text = unfenced(raw)
+    listed, held, alone = F.from_json(text, f"array<{element}>"), F.from_json(text, f"struct<`{field}`:array<{element}>>"), F.from_json(text, element)
+    has = F.get_json_object(text, f"$.{field}").isNotNull()
+    return F.when(text.startswith("["), listed).when(has, held[field]).when(text.startswith("{") & F.get_json_object(text, "$").isNotNull(), F.array(alone))
+
+
+def search_tables(tables: dict[str, tuple[DataFrame, Column, list[Column], list[Column]]], wanted: str) -> DataFrame:
+    """(table, key) of the rows of several lookup tables that hold a text: each table with its key, the columns to look into, and
+    columns of formulas, which are compared without their markup. An empty text finds every row."""
+    low = wanted.strip().lower()
+    plain = re.sub(r"\\[a-z]+|[{}$^_\\\s]", "", low)
+    out = None
+    for name, (df, key, columns, formulas) in tables.items():
+        hit = F.lit(low == "")
+        for c in columns:
+            hit = hit | F.coalesce(F.lower(c.cast("string")).contains(low), F.lit(False))
+        for c in formulas:
+            hit = hit | F.coalesce(F.regexp_replace(F.lower(strip_latex(c)), r"\s+", "").contains(plain), F.lit(False)) & F.lit(plain != "")
+        rows = df.where(hit).select(F.lit(name).alias("table"), key.cast("string").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def tab_to_show(counts: dict[str, int], active: str) -> str:
+    """The active table where a search finds something in it, else the first one where it does, else the active one."""
+    return active if counts.get(active) else next((name for name, n in counts.items() if n), active)

@@ -89,3 +89,11 @@ def page_of(df: DataFrame, by: list[str], chunk: Column, order: list, size: int)
     """Position and page of each row in its sorted group; ``chunk`` as for ``group_rank``."""
     ranked = group_rank(df, by, chunk, order, "position")
     return ranked.withColumn("page", F.floor((F.col("position") - 1) / size) + 1)
+
+
+def quietest(df: DataFrame, by: list[str], order: list, value: Column, before: int, after: int) -> DataFrame:
+    """(by, row, band) of each group: the row around which the moving sum of ``value`` is least, the last of several."""
+    band = F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-before, after))
+    rows = df.withColumn("__band", band)
+    last = F.max_by(F.struct(*(c for c in df.columns if c not in by)), F.struct((-F.col("__band")).alias("b"), *order))
+    return rows.groupBy(*by).agg(last.alias("row"), F.min("__band").alias("band"))

@@ -8,8 +8,11 @@ from ..functions.text import image_url
 from ..operators import normalize as N
 from ..operators.exam import prepare_pool, register_build_exam, seeded_order
 from ..operators.explore import SEARCH_FIELDS, UNIT_ALIASES, FilterSpec, question_in_unit
+from ..operators.library import answers_of, search_tables
+from ..operators.ordered import quietest
 from ..registry import ORACLES, query
 from ..sources.assets import listing, to_upload, upload
+from ..sources.names import SUBJECTS, paper_name
 from .base import Q, many, questions, table
 from .exams import _pool
 from .library import q_exam_closest_totals
@@ -124,3 +127,58 @@ def q_asset_store(spark, sf_dir):
     longer = F.when(F.col("page_id") % 5 == 0, F.concat("content", F.lit(b"more"))).otherwise(F.col("content"))
     upload(to_upload(pages.withColumn("content", longer), listing(spark, store), "max-age=60", "no-cache"), store)
     return listing(spark, store)
+
+
+FILES = ["WCH1{u}-01{v}_que_2023.pdf", "wch1{u}{v} rms.pdf", "x_u{u}{v}_qp.pdf", "Unit {u}{v} unused.pdf", "au{u}.pdf", "WPH1{u}_01{v}.pdf", "Physics_U{u}{v}_MS.pdf", "wma1{u}-01{v}.pdf", "QuestionPaper-Pure MathematicsP{u}{v}.pdf", "maths-m1{v}_ms.pdf", "24_QP_S1{v}.pdf", "WME01-01{v} unused.pdf", "b p{u}{v} c.pdf", "nothing.pdf"]
+
+
+def _name_sql(subject: str) -> str:
+    names = SUBJECTS[subject]
+    cases = lambda value: "CASE " + " ".join(f"WHEN regexp_matches(f, '{p}') THEN {value(p, unit)}" for p, unit in names.patterns) + " END"
+    unit = cases(lambda p, unit: str(unit) if unit else f"CAST(regexp_extract(f, '{p}', 1) AS INTEGER)")
+    variant = cases(lambda p, unit: f"upper(regexp_extract(f, '{p}', {1 if unit else 2}))")
+    literal = lambda x: "NULL" if x is None else f"'{x}'"
+    base = f"coalesce([{', '.join(map(literal, names.codes))}][u], {literal(names.unknown[1])})"
+    return f"""SELECT part, '{subject}' AS subject, coalesce(u, {names.unknown[0] or 'NULL'}) AS unit, variant, base || CASE WHEN variant = 'UNUSED' THEN '_UNUSED' ELSE variant END AS unit_code, base || '/01' || variant AS paper_code
+ FROM (SELECT *, CASE WHEN base IS NOT NULL AND contains(f, 'unused') THEN 'UNUSED' ELSE coalesce(v, '') END AS variant FROM (SELECT *, {base} AS base FROM (SELECT part, f, {unit} AS u, {variant} AS v FROM t)))"""
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS part, lower(replace(replace({FILES!r}[CAST(p_partkey % {len(FILES)} AS INTEGER) + 1], '{{u}}', CAST(p_size % 7 AS VARCHAR)), '{{v}}', ['', 'R', 'a'][CAST(p_size % 3 AS INTEGER) + 1])) AS f FROM part) {" UNION ALL ".join(map(_name_sql, SUBJECTS))}""")
+def q_paper_names(spark, sf_dir):
+    """What each subject's patterns read from file names of every kind."""
+    size = F.col("p_size")
+    given = F.get(F.array(*map(F.lit, FILES)), (F.col("p_partkey") % len(FILES)).cast("int"))
+    file = F.replace(F.replace(given, F.lit("{u}"), (size % 7).cast("string")), F.lit("{v}"), F.get(F.array(F.lit(""), F.lit("R"), F.lit("a")), size % 3))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), file.alias("file"))
+    out = [p.select("part", F.lit(s).alias("subject"), paper_name(F.col("file"), s).alias("n")) for s in SUBJECTS]
+    return out[0].union(out[1]).union(out[2]).select("part", "subject", "n.unit", "n.variant", "n.unit_code", "n.paper_code")
+
+
+@query("""WITH b AS (SELECT user_id, event_id, ts, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS band FROM events)
+SELECT user_id, arg_min(event_id, (band, -epoch_us(ts), -event_id)) AS event_id, CAST(min(band) AS BIGINT) AS band FROM b GROUP BY user_id""")
+def q_quietest_band(spark, sf_dir):
+    """The event of each user around which five events have the least value."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor("value").alias("ink"))
+    return quietest(e, ["user_id"], ["ts", "event_id"], F.col("ink"), 2, 2).select("user_id", "row.event_id", "band")
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN kind = 5 THEN NULL WHEN kind = 3 THEN 1 WHEN kind = 4 THEN 0 ELSE 2 END AS n, CASE WHEN kind IN (4, 5) THEN NULL ELSE k END AS k FROM e""")
+def q_fenced_answers(spark, sf_dir):
+    """Answers in lists and objects, in code blocks and bare; one kind is no JSON."""
+    one, kind = F.col("props"), F.col("event_id") % 6
+    both = F.concat(F.lit("["), one, F.lit(', {"k": -1}]'))
+    fence = lambda c, lang: F.concat(F.lit(f" ```{lang}\n"), c, F.lit("\n``` "))
+    held = F.concat(F.lit('{"questions": '), both, F.lit("}"))
+    raw = F.when(kind == 0, both).when(kind == 1, fence(both, "json")).when(kind == 2, fence(held, "")).when(kind == 3, one).when(kind == 4, F.lit('{"questions": []}')).otherwise("no answer")
+    got = answers_of(raw, "struct<k:bigint>")
+    return table(spark, sf_dir, "events").select("event_id", got.alias("a")).select("event_id", F.when(F.col("a").isNotNull(), F.size("a")).alias("n"), F.get("a", F.lit(0))["k"].alias("k"))
+
+
+@query(r"""SELECT 'nation' AS "table", CAST(n_nationkey AS VARCHAR) AS key FROM nation WHERE contains(lower(n_name), 'an') OR contains(CAST(n_regionkey AS VARCHAR), 'an') UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region WHERE contains(lower(r_name), 'an')
+UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(replace(p_type, 'S', 'An')), 'an')""")
+def q_lookup_search(spark, sf_dir):
+    """One search through three lookup tables; types are written as formulas."""
+    nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
+    formula = F.concat(F.lit(r"\frac{"), F.replace("p_type", F.lit("S"), F.lit("A_{n}")), F.lit("}"))
+    return search_tables({"nation": (nation, F.col("n_nationkey"), [F.col("n_name"), F.col("n_regionkey")], []), "region": (region, F.col("r_regionkey"), [F.col("r_name")], []), "part": (part, F.col("p_partkey"), [F.col("p_name")], [formula])}, " AN ")
