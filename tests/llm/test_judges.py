@@ -255,3 +255,26 @@ def test_a_language_of_long_documents_alone_is_learned(spark, documents):
     assert "xx" in model.languages
     told = langid.with_language(spark.createDataFrame([(1, "zugaom zugbom zugcom zugdom")], "doc_id long, text string"), model).first()
     assert told.lang_pred == "xx"
+
+
+def test_quality_scores_equal_a_plain_version(spark, documents, small):
+    from math import log
+
+    import xxhash
+
+    from questmill.llm.quality import BUCKETS, SMOOTHING
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h = lambda w, seed=42: xxhash.xxh64(w.encode(), seed=seed).intdigest()
+        return [h(w[-3:]) % BUCKETS for w in words] + [h(a, h(b)) % BUCKETS for a, b in zip(words, words[1:], strict=False)]
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: grams(r.text) for r in documents.collect()}
+    raw, target = Counter(b for x in texts.values() for b in x), Counter(b for i, x in texts.items() if i in good for b in x)
+    a, b = sum(raw.values()) + SMOOTHING * BUCKETS, sum(target.values()) + SMOOTHING * BUCKETS
+    weight = {k: log((target[k] + SMOOTHING) / b) - log((raw[k] + SMOOTHING) / a) for k in raw}
+    for r in with_quality(documents, labels).select("doc_id", "quality.score", "quality.kept", "quality.base_failed").collect():
+        want = sum(weight[k] for k in texts[r.doc_id]) / len(texts[r.doc_id])
+        assert r.score == pytest.approx(want, abs=1e-9) and (r.base_failed or r.kept == (want > -0.2))

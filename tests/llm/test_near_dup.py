@@ -106,3 +106,21 @@ def test_signature_estimate_counts_equal_symbols():
 def test_a_percent_that_the_bands_do_not_serve_is_refused(documents):
     with pytest.raises(ValueError, match="at least 80"):
         near_duplicates(documents, percent=79)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_recall_of_planted_pairs(spark, percent):
+    """2000 pairs whose similarity lies at the threshold or just above it: every one is found."""
+    rng = random.Random(percent)
+    rows, wanted = [], set()
+    for k in range(2000):
+        n = rng.randint(60, 200)
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        copy, shingles = list(base), n - 4
+        # words put in place of the last ones cost as many shingles as there are of them
+        lost = max(x for x in range(shingles) if 100 * (shingles - x) >= percent * (shingles + x))
+        copy[n - lost :] = [f"v{rng.randrange(10**9)}" for _ in range(lost)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        wanted.add(2 * k + 1)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent).where("not kept").collect()
+    assert {r.doc_id for r in found} == wanted
