@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.exam import seeded_order, select_exams
 from ..registry import query
-from .base import lines, papers, questions
+from .base import Q, lines, papers, questions
 
 
 def _pool(spark, sf_dir, target: int):
@@ -43,3 +43,14 @@ def q_reachable_sums(spark, sf_dir):
     marks = held.select("cust", used.alias("marks")).groupBy("cust").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     sums = F.aggregate("marks", F.array(F.lit(0)), lambda acc, m: F.array_union(acc, F.filter(F.transform(acc, lambda s: s + m), lambda s: s <= 40)))
     return marks.select("cust", F.size(sums).cast("long").alias("sums"))
+
+
+@query(f"""WITH RECURSIVE {Q}, m AS (SELECT unit || ':' || year || ':' || session || ':' || (paper % 50) AS request, marks, row_number() OVER (PARTITION BY unit, year, session, paper % 50 ORDER BY id, part, supp, shipped, quantity) AS n FROM q),
+r AS (SELECT request, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS s FROM (SELECT DISTINCT request FROM m) UNION SELECT r.request, m.n, unnest([s, s + marks]) FROM r JOIN m ON m.request = r.request AND m.n = r.n + 1 WHERE s <= 60)
+SELECT DISTINCT request, CAST(60 AS BIGINT) AS total, TRUE AS whole, TRUE AS own FROM r WHERE s = 60""")
+def q_exam_full_totals(spark, sf_dir):
+    """Papers that meet their total: all whose questions can; each question once, and of the request's own pool."""
+    pool = questions(spark, sf_dir).select(F.concat_ws(":", "unit", "year", "session", (F.col("paper") % 50).cast("string")).alias("of"), F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"))
+    chosen = q_exam_full(spark, sf_dir).join(pool.distinct(), "id", "left")
+    sums = chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"), F.bool_and(F.coalesce(F.col("of") == F.col("request"), F.lit(False))).alias("own"))
+    return sums.where("total = 60")
