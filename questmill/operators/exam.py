@@ -1,16 +1,18 @@
 """Selection of items with an exact or closest total of marks, many requests at once.
 
-Reachable sums form a boolean vector; an item adds the vector shifted by its marks, and each sum remembers the first item that
-reached it. Random order is a hash of item and seed, so a selection can be derived again.
+Reachable sums form a bit set; an item adds the set shifted by its marks, and each sum remembers the first item that reached it.
+Random order is a hash of item and seed, so a selection can be derived again.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,30 +22,32 @@ from .library import preset_pool
 CAP_EXACT, CAP_CLOSEST = 200, 220
 # What a request is told where too few questions are unattempted.
 UNATTEMPTED_FEW, UNATTEMPTED_NONE = "Unattempted-only mode (supplemented with attempted questions)", "Unattempted-only mode (no unattempted questions remaining)"
+#: Rows of one request that one task takes as they are; larger requests are first cut to the rows that they can use.
+MOST_ROWS = 200_000
 #: Presets are a list that people keep.
 MOST_PRESETS = 10_000
 
 
-def _reach(marks: list[int], most: int, stop_at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    first = np.full(most + 1, -1)
-    open_ = np.zeros(most + 1, bool)
-    open_[0] = True
+def _reach(marks: list[int], most: int, stop_at: int | None = None) -> tuple[int, dict[int, int]]:
+    first: dict[int, int] = {}
+    open_, every = 1, (1 << most + 1) - 1
     for i, m in enumerate(marks):
         if 0 < m <= most:
-            new = np.zeros_like(open_)
-            new[m:] = open_[:-m]
-            new &= ~open_
-            first[new] = i
+            new = open_ << m & every & ~open_
             open_ |= new
-            if stop_at is not None and open_[stop_at]:
+            while new:
+                top = new.bit_length() - 1
+                first[top] = i
+                new ^= 1 << top
+            if open_ == every or stop_at is not None and open_ >> stop_at & 1:
                 break
     return open_, first
 
 
-def _walk(marks: list[int], first: np.ndarray, total: int) -> list[int]:
+def _walk(marks: list[int], first: dict[int, int], total: int) -> list[int]:
     out = []
     while total > 0:
-        i = int(first[total])
+        i = first[total]
         out.append(i)
         total -= marks[i]
     return out[::-1]
@@ -58,7 +62,7 @@ def exact_subset(marks: list[int], target: int, cap: int | None = None) -> list[
     if most <= 0 or not marks:
         return None
     open_, first = _reach(marks, most, most)
-    return _walk(marks, first, most) if open_[most] else None
+    return _walk(marks, first, most) if open_ >> most & 1 else None
 
 
 def closest_subset(marks: list[int], target: int, cap: int | None = None, cap_exact: int | None = None) -> list[int]:
@@ -75,22 +79,21 @@ def closest_subset(marks: list[int], target: int, cap: int | None = None, cap_ex
     values = [marks[i] for i in usable]
     if sum(values) <= target:
         return usable
-    open_, first = _reach(values, target + 12 if cap is None else min(cap, target + 12))
-    sums = np.flatnonzero(open_[1:]) + 1
-    if not len(sums):
+    _, first = _reach(values, target + 12 if cap is None else min(cap, target + 12))
+    if not first:
         return [usable[0]]
-    best = int(sums[np.argmin(np.abs(sums - target))])
+    best = min(first, key=lambda s: (abs(s - target), s))
     return [usable[i] for i in _walk(values, first, best)]
 
 
-def assemble(pool: pd.DataFrame, target: int, mcq_share: float) -> tuple[list[int], list[str]]:
+def assemble(pool: pd.DataFrame | dict[str, list], target: int, mcq_share: float) -> tuple[list[int], list[str]]:
     """An authentic paper from a pool with columns id, marks, kind, topic, paper, priority, order: choice items by topic in turn up to
     their share, then theory items up to a buffer below the target, then the closest fill; a global exact selection if that misses."""
     log: list[str] = []
     usage: Counter = Counter()
     chosen: list[int] = []
-    marks = pool["marks"].astype(int).tolist()
-    kinds, topics, paper, priority, order = (pool[c].tolist() for c in ("kind", "topic", "paper", "priority", "order"))
+    marks = [int(m) for m in pool["marks"]]
+    kinds, topics, paper, priority, order = (list(pool[c]) for c in ("kind", "topic", "paper", "priority", "order"))
 
     def deal(places: list[int], limit: float, goal: float) -> int:
         buckets: dict[str, list[int]] = {}
@@ -136,11 +139,12 @@ def assemble(pool: pd.DataFrame, target: int, mcq_share: float) -> tuple[list[in
     return chosen, log
 
 
-def _first_rows(df: DataFrame, by: list[str], order: list[str], many: Column) -> DataFrame:
-    """The first rows of each group: of 64 parts of a group first, so that no task reads a large group whole."""
-    for keys in ([*by, "__part"], by):
-        w = Window.partitionBy(*keys).orderBy(*order, "__copy")
-        df = df.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= many)
+def _first_rows(df: DataFrame, by: list[str], order: list[str], many: Column, most: int | None = None) -> DataFrame:
+    """The first rows of each group, so that no task reads a large group whole: where ``most`` is known as their largest number, Spark
+    cuts groups to it before rows move; else of 64 parts of a group first."""
+    for keys in ([*by, "__part"], by) if most is None else (by,):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        df = df.withColumn("__place", place).where((F.col("__place") <= many) & (F.lit(True) if most is None else F.col("__place") <= most))
     return df.drop("__place")
 
 
@@ -154,44 +158,90 @@ def _first_papers(df: DataFrame, by: list[str], order: list[str], many: Column)
     return df.drop("__place", "__head")
 
 
-def bounded_pool(pool: DataFrame, target: str = "target", dealt: bool = False) -> DataFrame:
+def bounded_pool(pool: DataFrame, target: str = "target", dealt: bool = False, most: int | None = None) -> DataFrame:
     """The rows of a pool that a selection can use at all, so that a request's rows have a bound set by its target alone.
 
     Sums up to ``limit = target + 12`` are reached first by the first rows in order: of equal marks ``limit / marks`` rows, since with
     one more an earlier one is free for the same sum. A dealt paper also takes, in each topic, first rows of papers least used; it
     uses at most ``target`` papers, so the first ``limit + 1`` papers, and as many rows of each, hold every row that it can take.
-    Selections are those of the whole pool; rows without marks above zero are never selected.
+    Selections are those of the whole pool; rows without marks above zero are never selected. ``most`` is the largest target, where
+    it is known.
     """
     limit = F.col(target) + 12
-    rows = pool.where("marks > 0")
+    rows = pool.where("marks > 0").where(limit > 0)
+    used, known = F.floor(limit / F.col("marks")) + 1, None if most is None else most + 13
+    if not dealt:
+        return _first_rows(rows.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(64))), ["request", "marks"], ["order", "id"], used, known).drop("__part")
     rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least("__n", (limit + 1).cast("long")).cast("int")))).drop("__n")
-    rows = rows.where(limit > 0).withColumn("__part", F.pmod(F.xxhash64("id", "__copy"), F.lit(64)))
-    out = _first_rows(rows, ["request", "marks"], ["order", "id"], F.floor(limit / F.col("marks")) + 1).drop("__part")
-    if dealt:
-        rows = rows.withColumn("__mcq", F.coalesce(F.col("kind") == "mcq", F.lit(False))).withColumn("__rank", -F.col("priority"))
-        topics = _first_papers(rows, ["request", "__mcq", "topic", "marks"], ["__rank", "order", "id"], limit + 1)
-        fill = _first_papers(rows.where("not __mcq"), ["request", "marks"], ["order", "id"], 2 * limit + 1)
-        out = out.unionByName(topics.select(*out.columns)).unionByName(fill.select(*out.columns)).distinct()
-    return out.drop("__copy")
-
-
-def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True) -> DataFrame:
-    """Solve one selection a request: ``pool`` has (request, target, id, marks, kind, topic, paper, priority, order) and is grouped by
-    request after ``bounded_pool``, so that the rows of one request have a bound set by its target, however large its pool. Gives (request, id, marks, total, target, log)."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "id"]).reset_index(drop=True)
-        goal = int(frame["target"].iloc[0])
-        if mcq_share:
-            places, log = assemble(frame, goal, mcq_share)
-        else:
-            marks = frame["marks"].astype(int).tolist()
-            places, log = closest_subset(marks, goal) if closest else exact_subset(marks, goal) or [], []
-        out = frame.loc[places, ["request", "id", "marks"]].copy()
-        out["total"], out["target"], out["log"] = int(out["marks"].sum()), goal, "; ".join(log)
-        return out
-
-    return bounded_pool(pool.withColumn("target", F.col(target)), dealt=bool(mcq_share)).groupBy("request").applyInPandas(solve, "request string, id string, marks int, total int, target int, log string")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("id", "__copy"), F.lit(64)))
+    out = _first_rows(rows, ["request", "marks"], ["order", "id", "__copy"], used, known).drop("__part")
+    rows = rows.withColumn("__mcq", F.coalesce(F.col("kind") == "mcq", F.lit(False))).withColumn("__rank", -F.col("priority"))
+    topics = _first_papers(rows, ["request", "__mcq", "topic", "marks"], ["__rank", "order", "id"], limit + 1)
+    fill = _first_papers(rows.where("not __mcq"), ["request", "marks"], ["order", "id"], 2 * limit + 1)
+    return out.unionByName(topics.select(*out.columns)).unionByName(fill.select(*out.columns)).distinct().drop("__copy")
+
+
+def _large_cut(pool: DataFrame, dealt: bool, most_rows: int) -> DataFrame:
+    """The pool with requests above ``most_rows`` rows cut by ``bounded_pool``; the driver sees these requests' names."""
+    sizes = pool.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.max("target").alias("most"))
+    large = F.when(F.col("n") > most_rows, F.struct("request", "most"))
+    seen = sizes.agg(F.collect_list(large).alias("large"), F.count(F.lit(1)).alias("every")).first()
+    if not seen["large"]:
+        return pool
+    names, most = [r["request"] for r in seen["large"]], max(r["most"] for r in seen["large"])
+    if len(names) == seen["every"]:
+        return bounded_pool(pool, dealt=dealt, most=most)
+    is_large = F.coalesce(F.col("request").isin([n for n in names if n is not None]), F.lit(None in names))
+    return pool.where(~is_large).unionByName(bounded_pool(pool.where(is_large), dealt=dealt, most=most))
+
+
+def _whole_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Each request's rows as one batch, together with those of its neighbours: rows come sorted by request."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            ends = pc.run_end_encode(batch.column("request")).run_ends.to_pylist()
+            last = ends[-2] if len(ends) > 1 else 0
+            if last or held and held[-1].column("request")[-1].as_py() != batch.column("request")[0].as_py():
+                yield pa.concat_batches([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Solve one selection a request: ``pool`` has (request, target, id, marks, order) and, for papers dealt with a share of choice
+    items, (kind, topic, paper, priority). Gives (request, id, marks, total, target, log).
+
+    Rows move once, to their request, and are read there in order, many requests in one batch. Requests of more than ``most_rows`` rows,
+    which are counted first, are cut by ``bounded_pool`` before, so that the rows of one request have a bound however large its pool.
+    """
+    dealt = bool(mcq_share)
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_requests(batches):
+            targets, marks = rows.column("target").to_pylist(), rows.column("marks").to_pylist()
+            begin, taken, totals, logs = 0, [], [], []
+            for end in pc.run_end_encode(rows.column("request")).run_ends.to_pylist():
+                mine, log = marks[begin:end], []
+                if dealt:
+                    part = rows.slice(begin, end - begin)
+                    places, log = assemble({c: part.column(c).to_pylist() for c in part.schema.names}, targets[begin], mcq_share)
+                else:
+                    places = closest_subset(mine, targets[begin]) if closest else exact_subset(mine, targets[begin]) or []
+                taken += [begin + i for i in places]
+                totals += [sum(mine[i] for i in places)] * len(places)
+                logs += ["; ".join(log)] * len(places)
+                begin = end
+            got = rows.select(["request", "id", "marks", "target"]).take(pa.array(taken, pa.int64()))
+            columns = [got.column(c) for c in ("request", "id", "marks")] + [pa.array(totals, pa.int32()), got.column("target"), pa.array(logs, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["request", "id", "marks", "total", "target", "log"])
+
+    kinds = {"request": "string", "target": "int", "id": "string", "marks": "int", "order": "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
+    rows = pool.withColumn("target", F.col(target)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())).where("marks > 0 and target > -12")
+    rows = _large_cut(rows, dealt, most_rows).repartition("request").sortWithinPartitions("request", F.asc_nulls_last("order"), F.asc_nulls_last("id"), *(c for c in kinds if c not in ("request", "order", "id")))
+    return rows.mapInArrow(solved, "request string, id string, marks int, total int, target int, log string")
 
 
 def seeded_order(key: Column, seed: str) -> Column:

@@ -196,3 +196,17 @@ def test_consistency_issues(spark):
     assert of(row("T", "a", ["b"], "T", "a", ["T"], ["a"], "T")) == []
     assert of(row(None, " General ", None, None, None, None, None, None)) == ["invalid_main_topic", "invalid_main", "invalid_topic", "invalid_subtopic", "unknown_main_topic", "unknown_main", "foreign_main", "legacy_subtopic", "legacy_subtopics", "legacy_topics"]
     assert of(row("U", "c", ["c", "z"], "T", "c", ["T"], ["c"], "T")) == ["unknown_main_topic", "unknown_related", "foreign_main", "wrong_parent", "many_related", "main_repeated", "foreign_related", "legacy_topic", "legacy_topics"]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.22])
+def test_selections_move_rows_once_and_cut_large_requests(spark, share):
+    rng = random.Random(7)
+    rows = [(r, 40, f"{r}{i:03d}", rng.choice([0, 1, 2, 3, 7, 30]), rng.choice(["mcq", "theory"]), rng.choice("xyz"), rng.choice("pqrs"), rng.randrange(4), f"{rng.randrange(99):02d}") for r, n in (("a", 90), ("b", 9), ("c", 40), (None, 60)) for i in range(n)]
+    pool = spark.createDataFrame(rows + rows[:5], "request string, target int, id string, marks int, kind string, topic string, paper string, priority int, `order` string").coalesce(1)
+    whole = select_exams(pool, mcq_share=share)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = sorted(map(str, whole.collect()))
+    assert len({r.split("id=")[0] for r in want}) == 4
+    for most_rows in (2, 45, 70):
+        assert sorted(map(str, select_exams(pool, mcq_share=share, most_rows=most_rows).collect())) == want
+    assert select_exams(pool.limit(0), mcq_share=share).count() == 0
