@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.exam import seeded_order, select_exams
 from ..registry import query
-from .base import Q, lines, papers, questions
+from .base import Q, lines, papers, questions, table
 
 
 def _pool(spark, sf_dir, target: int):
@@ -50,7 +50,12 @@ r AS (SELECT request, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS s FROM (SELE
 SELECT DISTINCT request, CAST(60 AS BIGINT) AS total, TRUE AS whole, TRUE AS own FROM r WHERE s = 60""")
 def q_exam_full_totals(spark, sf_dir):
     """Papers that meet their total: all whose questions can; each question once, and of the request's own pool."""
-    pool = questions(spark, sf_dir).select(F.concat_ws(":", "unit", "year", "session", (F.col("paper") % 50).cast("string")).alias("of"), F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"))
-    chosen = q_exam_full(spark, sf_dir).join(pool.distinct(), "id", "left")
+    chosen = q_exam_full(spark, sf_dir)
+    # what a request may use is looked up for chosen questions alone: a request takes at most its total of them, so they are few
+    key = F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string"))
+    used = lines(spark, sf_dir).select("paper", key.alias("id")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").distinct()
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("unit"))
+    pool = used.join(papers(spark, sf_dir), "paper").join(units, "cust").select(F.concat_ws(":", "unit", "year", "session", (F.col("paper") % 50).cast("string")).alias("of"), "id")
+    chosen = chosen.join(pool.distinct(), "id", "left")
     sums = chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"), F.bool_and(F.coalesce(F.col("of") == F.col("request"), F.lit(False))).alias("own"))
     return sums.where("total = 60")

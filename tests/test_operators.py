@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from questmill import registry
 from questmill.operators.exam import assemble, bounded_pool, closest_subset, exact_subset, prepare_pool, remaining, select_exams
 from questmill.operators.explore import FilterSpec, facet_all, facet_many, unit_matches
 from questmill.operators.match import anti_any, asof_join, fallback_join, nearest_join
@@ -210,3 +211,8 @@ def test_selections_move_rows_once_and_cut_large_requests(spark, share):
     for most_rows in (2, 45, 70):
         assert sorted(map(str, select_exams(pool, mcq_share=share, most_rows=most_rows).collect())) == want
     assert select_exams(pool.limit(0), mcq_share=share).count() == 0
+
+
+def test_pools_are_looked_up_for_chosen_questions_alone(spark, small):
+    plan = registry.QUERIES["q_exam_full_totals"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1
