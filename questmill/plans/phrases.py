@@ -9,12 +9,14 @@ from ..operators.phrases import hazard_issues, phrase_hits
 from ..registry import query
 from .base import many, table
 
+#: A place of a phrase may overlap another of its own ("the the" in "atthe the the"), so SQL splits by the first word and its blank, which
+#: never overlap themselves, and looks for the second word behind each.
 #: Phrases are the first two words of each benchmark text and of each question a user asked.
 PHRASES = r"(SELECT DISTINCT lower(regexp_extract(text, '^([^\s]+ [^\s]+) ', 1)) AS p FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE turn = 0 AND role = 'user'))"
 
 
-@query(rf"""WITH RECURSIVE p AS (SELECT p FROM {PHRASES} WHERE p <> ''), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, t, p, string_split(t, p) AS parts FROM d JOIN p ON contains(t, p)),
-h AS (SELECT doc_id, t, p, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(p))) AS start FROM s),
+@query(rf"""WITH RECURSIVE p AS (SELECT p FROM {PHRASES} WHERE p <> ''), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, t, p, split_part(p, ' ', 1) || ' ' AS one, split_part(p, ' ', 2) AS two, string_split(t, split_part(p, ' ', 1) || ' ') AS parts FROM d JOIN p ON contains(t, p)),
+h AS (SELECT doc_id, t, p, unnest(list_transform(list_filter(range(1, len(parts)), lambda k: starts_with(parts[k + 1] || CASE WHEN k + 1 < len(parts) THEN one ELSE '' END, two)), lambda k: coalesce(list_sum(list_transform(parts[1:k], lambda x: length(x))), 0) + (k - 1) * length(one))) AS start FROM s),
 w AS (SELECT doc_id, CAST(start AS BIGINT) AS start, length(p) AS len, p FROM h WHERE NOT (start > 0 AND regexp_matches(substr(t, CAST(start AS BIGINT), 1), '[\pL\pN]')) AND NOT regexp_matches(substr(t, CAST(start AS BIGINT) + length(p) + 1, 1), '[\pL\pN]')),
 l AS (SELECT doc_id, start, max(len) AS len, arg_max(p, len) AS p FROM w GROUP BY doc_id, start), n AS (SELECT a.*, b.start AS next FROM (SELECT *, start + len AS stop FROM l) a ASOF LEFT JOIN l b ON a.doc_id = b.doc_id AND a.stop <= b.start),
 g AS (SELECT n.* FROM n JOIN (SELECT doc_id, min(start) AS start FROM l GROUP BY doc_id) f ON f.doc_id = n.doc_id AND f.start = n.start UNION ALL SELECT n.* FROM g JOIN n ON n.doc_id = g.doc_id AND n.start = g.next)
