@@ -304,17 +304,21 @@ def remaining(pool: DataFrame, cart: DataFrame) -> DataFrame:
 def preset_requests(questions: DataFrame, presets: DataFrame, families: list[str]) -> DataFrame:
     """Pools of presets (preset, unit_code, target, kind): the questions of its unit, or all for a preset of ``all`` units and one
     whose unit has none; of these the kind that it asks for, where the pool has any. Questions have (unit, unit_code, kind); rows get
-    (request, target). Presets are a short list, and each takes part in one equi-join."""
-    named = preset_pool(questions, presets.where("lower(unit_code) <> 'all'"), families)
-    whole = presets.join(named.select("preset").distinct(), "preset", "left_anti")
-    names = sorted(r["preset"] for r in whole.select("preset").distinct().limit(MOST_PRESETS + 1).collect())
-    if len(names) > MOST_PRESETS:
+    (request, target). Presets are a short list and are broadcast: a few names would bring all questions to a few tasks."""
+    held = presets.limit(MOST_PRESETS + 1).collect()
+    if len(held) > MOST_PRESETS:
         raise ValueError(f"more than {MOST_PRESETS} presets")
-    every = questions.withColumn("preset", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    presets = F.broadcast(presets.sparkSession.createDataFrame(held, presets.schema))
+    named = preset_pool(questions, presets.where("lower(unit_code) <> 'all'"), families)
     wanted = presets.select("preset", "target", F.col("kind").alias("__kind"))
+    fits = F.coalesce(F.col("kind") == F.col("__kind"), F.lit(False))
+    asked = {r["preset"]: r["some"] for r in named.join(wanted, "preset").groupBy("preset").agg(F.max(fits).alias("some")).collect()}
+    names = sorted({r["preset"] for r in held} - set(asked) - {None})
+    kinds = {r["kind"] for r in questions.where(F.col("kind").isin(sorted({r["kind"] for r in held} - {None}))).select("kind").distinct().collect()}
+    some = {name for name, found in asked.items() if found} | {r["preset"] for r in held if r["preset"] in names and r["kind"] in kinds}
+    every = questions.withColumn("preset", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
     pool = named.unionByName(every).join(wanted, "preset").withColumnRenamed("preset", "request")
-    some = pool.where("kind = __kind").select("request").distinct().withColumn("__some", F.lit(True))
-    return pool.join(some, "request", "left").where("__some is null or kind = __kind").drop("__kind", "__some")
+    return pool.where(~F.col("request").isin(sorted(some)) | fits).drop("__kind")
 
 
 class BuildExam:

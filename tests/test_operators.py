@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from questmill import registry
-from questmill.operators.exam import assemble, bounded_pool, closest_subset, exact_subset, prepare_pool, remaining, select_exams
+from questmill.operators.exam import assemble, bounded_pool, closest_subset, exact_subset, prepare_pool, preset_requests, remaining, select_exams
 from questmill.operators.explore import FilterSpec, facet_all, facet_many, unit_matches
 from questmill.operators.match import anti_any, asof_join, fallback_join, nearest_join
 from questmill.operators.merge import ghost_purge, latest, merge_progress, partial_latest, replace_by
@@ -216,3 +216,11 @@ def test_selections_move_rows_once_and_cut_large_requests(spark, share):
 def test_pools_are_looked_up_for_chosen_questions_alone(spark, small):
     plan = registry.QUERIES["q_exam_full_totals"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 1
+
+
+def test_presets_do_not_bring_all_questions_to_one_task(spark):
+    questions = spark.createDataFrame([("q1", "u", "WX11", "mcq", 3), ("q2", "u", "WX11", "theory", 4), ("q3", "u", "WX12", "mcq", 5)], "id string, unit string, unit_code string, kind string, marks int")
+    presets = spark.createDataFrame([("a", "wx11", 9, "theory"), ("b", "WX12", 9, "theory"), ("c", "all", 9, "mcq"), ("d", "WX19", 9, "other"), ("e", "WX19", 9, "theory")], "preset string, unit_code string, target int, kind string")
+    pool = preset_requests(questions, presets, ["WX1"])
+    assert sorted((r.request, r.id) for r in pool.collect()) == [("a", "q2"), ("b", "q3"), ("c", "q1"), ("c", "q3"), ("d", "q1"), ("d", "q2"), ("d", "q3"), ("e", "q2")]
+    assert "hashpartitioning" not in pool._jdf.queryExecution().executedPlan().toString()
