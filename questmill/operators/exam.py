@@ -212,7 +212,7 @@ def _whole_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Recor
 
 def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True, most_rows: int = MOST_ROWS) -> DataFrame:
     """Solve one selection a request: ``pool`` has (request, target, id, marks, order) and, for papers dealt with a share of choice
-    items, (kind, topic, paper, priority). Gives (request, id, marks, total, target, log).
+    items, (kind, topic, paper, priority). Gives (request, id, marks, total, target, log). ``order`` is text or, in fewer bytes, binary.
 
     Rows move once, to their request, and are read there in order, many requests in one batch. Requests of more than ``most_rows`` rows,
     which are counted first, are cut by ``bounded_pool`` before, so that the rows of one request have a bound however large its pool.
@@ -221,7 +221,7 @@ def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_requests(batches):
-            targets, marks = rows.column("target").to_pylist(), rows.column("marks").to_pylist()
+            targets, marks = (rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("target", "marks"))
             begin, taken, totals, logs = 0, [], [], []
             for end in pc.run_end_encode(rows.column("request")).run_ends.to_pylist():
                 mine, log = marks[begin:end], []
@@ -238,10 +238,11 @@ def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0
             columns = [got.column(c) for c in ("request", "id", "marks")] + [pa.array(totals, pa.int32()), got.column("target"), pa.array(logs, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["request", "id", "marks", "total", "target", "log"])
 
-    kinds = {"request": "string", "target": "int", "id": "string", "marks": "int", "order": "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
+    kinds = {"request": "string", "target": "int", "id": "string", "marks": "int", "order": "binary" if dict(pool.dtypes)["order"] == "binary" else "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
     rows = pool.withColumn("target", F.col(target)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())).where("marks > 0 and target > -12")
     rows = _large_cut(rows, dealt, most_rows).repartition("request").sortWithinPartitions("request", F.asc_nulls_last("order"), F.asc_nulls_last("id"), *(c for c in kinds if c not in ("request", "order", "id")))
-    return rows.mapInArrow(solved, "request string, id string, marks int, total int, target int, log string")
+    # rows are in order: where no paper is dealt, tasks need not see what they were ordered by
+    return (rows if dealt else rows.drop("order")).mapInArrow(solved, "request string, id string, marks int, total int, target int, log string")
 
 
 def seeded_order(key: Column, seed: str) -> Column:

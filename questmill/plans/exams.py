@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators.exam import seeded_order, select_exams
 from ..registry import query
-from .base import Q, lines, papers, questions, table
+from .base import Q, line_columns, lines, papers, questions, table
 
 
 def _pool(spark, sf_dir, target: int):
     """Each customer's questions are one request's pool."""
-    q = lines(spark, sf_dir).join(papers(spark, sf_dir).select("paper", F.col("cust").cast("string").alias("request")), "paper")
-    return q.select("request", F.lit(target).alias("target"), F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"), "marks", seeded_order(F.col("id"), "1").alias("order"))
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    q = table(spark, sf_dir, "lineitem").join(papers, "l_orderkey").select(F.col("o_custkey").cast("string").alias("request"), *line_columns())
+    return q.select("request", F.lit(target).alias("target"), F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"), "marks", F.unhex(seeded_order(F.col("id"), "1")).alias("order"))
 
 
 @query()

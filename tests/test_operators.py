@@ -224,3 +224,14 @@ def test_presets_do_not_bring_all_questions_to_one_task(spark):
     pool = preset_requests(questions, presets, ["WX1"])
     assert sorted((r.request, r.id) for r in pool.collect()) == [("a", "q2"), ("b", "q3"), ("c", "q1"), ("c", "q3"), ("d", "q1"), ("d", "q2"), ("d", "q3"), ("e", "q2")]
     assert "hashpartitioning" not in pool._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selections_move_numbers_to_their_request_and_no_order_to_python(spark, small):
+    from questmill.plans.exams import _pool, q_exam_closest
+
+    plan = _pool(spark, small, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat" in plan and "concat" not in plan[plan.index("Join ") :]
+    plan = q_exam_closest(spark, small)._jdf.queryExecution().analyzed().toString()
+    assert not any("order#" in line for line in plan.splitlines()[:2]) and "Sort [request" in plan
+    text = spark.createDataFrame([(f"r{k % 3}", 20, f"i{k}", 1 + k % 7, f"{(k * 37) % 101:032x}") for k in range(60)], "request string, target int, id string, marks int, order string")
+    assert sorted(select_exams(text).collect()) == sorted(select_exams(text.withColumn("order", F.unhex("order"))).collect())
