@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,30 +107,47 @@ def encode_segment(c: Column) -> Column:
     return out
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once a row, however often it stands there: a column named twice is computed twice,
+    and nested steps double each other's work."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def versioned(path: Column, key: Column, versions: Column) -> Column:
     """A path with ``v=`` of its version, which the map ``versions`` knows by the key, else by path, file name or file name without its
     ending; a path that has a version, or none in the map, stays. Null is empty."""
-    path = F.coalesce(path, F.lit(""))
-    bare = F.split(path, r"\?")[0]
-    name = F.regexp_replace(bare, "^.*/", "")
-    of = lambda k: F.nullif(F.try_element_at(versions, F.coalesce(k, F.lit(""))), F.lit(""))
-    version = F.coalesce(of(key), of(bare), of(name), of(F.regexp_replace(name, r"\.[^/.]+$", "")))
-    sep = F.when(path.contains("?"), "&").otherwise("?")
-    asked = path.contains("?v=") | path.contains("&v=") | (path == "") | version.isNull()
-    return F.when(asked, path).otherwise(F.concat(path, sep, F.lit("v="), version))
+    known = F.map_filter(versions, lambda _, v: v != "")
+    of = lambda k: F.try_element_at(known, F.coalesce(k, F.lit("")))
+
+    def of_bare(bare: Column) -> Column:
+        return F.coalesce(of(key), of(bare), once(F.regexp_replace(bare, "^.*/", ""), lambda name: F.coalesce(of(name), of(F.regexp_replace(name, r"\.[^/.]+$", "")))))
+
+    def with_version(path: Column) -> Column:
+        sep = F.when(path.contains("?"), "&").otherwise("?")
+        asked = path.contains("?v=") | path.contains("&v=") | (path == "")
+        return F.when(asked, path).otherwise(once(once(F.split(path, r"\?")[0], of_bare), lambda version: F.coalesce(F.concat(path, sep, F.lit("v="), version), path)))
+
+    return once(F.coalesce(path, F.lit("")), with_version)
 
 
 def image_url(paths: list[Column], key: Column, versions: Column, base: str, prefixes: list[str]) -> Column:
     """The address of an image: the first of its paths that is not empty, with its version; full addresses stay, others begin with a slash,
     are encoded by segment, and stand behind ``base`` where one of ``prefixes`` begins them. No path: empty."""
+
+    def behind_base(encoded: Column) -> Column:
+        hosted = F.lit(False)
+        for prefix in prefixes:
+            hosted = hosted | encoded.startswith(prefix)
+        return F.when(hosted & F.lit(base != ""), F.concat(F.lit(base), encoded)).otherwise(encoded)
+
+    def local(parts: Column) -> Column:
+        query = F.get(parts, F.lit(1))
+        encoded = once(F.array_join(F.transform(F.split(parts[0], "/"), encode_segment), "/"), behind_base)
+        return F.concat(encoded, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+    def address(full: Column) -> Column:
+        rooted = F.when(full.startswith("/"), full).otherwise(F.concat(F.lit("/"), full))
+        return F.when(full.rlike("^https?://"), full).otherwise(once(F.split(rooted, r"\?"), local))
+
     path = F.coalesce(*(F.nullif(F.trim(p), F.lit("")) for p in paths), F.lit(""))
-    full = versioned(path, key, versions)
-    rooted = F.when(full.startswith("/"), full).otherwise(F.concat(F.lit("/"), full))
-    parts = F.split(rooted, r"\?")
-    encoded = F.array_join(F.transform(F.split(parts[0], "/"), encode_segment), "/")
-    query = F.get(parts, F.lit(1))
-    local = F.when(query != "", F.concat(encoded, F.lit("?"), query)).otherwise(encoded)
-    hosted = F.lit(False)
-    for prefix in prefixes:
-        hosted = hosted | encoded.startswith(prefix)
-    return F.when(path == "", "").when(full.rlike("^https?://"), full).when(hosted & F.lit(base != ""), F.concat(F.lit(base), local)).otherwise(local)
+    return once(path, lambda path: F.when(path == "", "").otherwise(once(versioned(path, key, versions), address)))

@@ -64,3 +64,12 @@ def test_answers(spark):
 @pytest.mark.parametrize("unit,code,wanted,want", [("Unit 1: Pure (P1)", "WMA11", "p1", True), ("Unit 1", None, "1", True), ("Unit 12", None, "1", False), (None, "WST01", " s1", True), (None, None, "1", False), ("Unit 3", "", "", False), ("x", "wch 11", "WCH11", True)])
 def test_units(spark, unit, code, wanted, want):
     assert one(spark, question_in_unit(F.lit(unit), F.lit(code), wanted)) is want
+
+
+def test_an_image_url_computes_its_path_once(spark):
+    rows = spark.createDataFrame([("/crops/a b.png", "k"), (None, None), ("https://h/x.png", "k")], "given string, key string").repartition(1)
+    url = image_url([F.upper("given")], F.col("key"), F.create_map(F.lit("k"), F.lit("3"), F.lit("e"), F.lit("")), "https://cdn", ["/CROPS/"])
+    got = rows.select(url.alias("url"))
+    assert [r.url for r in got.collect()] == ["https://cdn/CROPS/A%20B.PNG?v=3", "", "/HTTPS%3A//H/X.PNG?v=3"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(given#") <= 2 and len(plan) < 10_000  # null if it is empty: at most twice
