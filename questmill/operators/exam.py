@@ -210,6 +210,26 @@ def _whole_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Recor
         yield pa.concat_batches(held)
 
 
+def _selections(rows: pa.RecordBatch, mcq_share: float = 0.0, closest: bool = True) -> pa.RecordBatch:
+    """The selections of whole requests, whose rows stand together and in order."""
+    targets, marks = (rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("target", "marks"))
+    begin, taken, totals, logs = 0, [], [], []
+    for end in pc.run_end_encode(rows.column("request")).run_ends.to_pylist():
+        mine, log = marks[begin:end], []
+        if mcq_share:
+            part = rows.slice(begin, end - begin)
+            places, log = assemble({c: part.column(c).to_pylist() for c in part.schema.names}, targets[begin], mcq_share)
+        else:
+            places = closest_subset(mine, targets[begin]) if closest else exact_subset(mine, targets[begin]) or []
+        taken += [begin + i for i in places]
+        totals += [sum(mine[i] for i in places)] * len(places)
+        logs += ["; ".join(log)] * len(places)
+        begin = end
+    got = rows.select(["request", "id", "marks", "target"]).take(pa.array(taken, pa.int64()))
+    columns = [got.column(c) for c in ("request", "id", "marks")] + [pa.array(totals, pa.int32()), got.column("target"), pa.array(logs, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["request", "id", "marks", "total", "target", "log"])
+
+
 def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True, most_rows: int = MOST_ROWS) -> DataFrame:
     """Solve one selection a request: ``pool`` has (request, target, id, marks, order) and, for papers dealt with a share of choice
     items, (kind, topic, paper, priority). Gives (request, id, marks, total, target, log). ``order`` is text or, in fewer bytes, binary.
@@ -221,22 +241,7 @@ def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_requests(batches):
-            targets, marks = (rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("target", "marks"))
-            begin, taken, totals, logs = 0, [], [], []
-            for end in pc.run_end_encode(rows.column("request")).run_ends.to_pylist():
-                mine, log = marks[begin:end], []
-                if dealt:
-                    part = rows.slice(begin, end - begin)
-                    places, log = assemble({c: part.column(c).to_pylist() for c in part.schema.names}, targets[begin], mcq_share)
-                else:
-                    places = closest_subset(mine, targets[begin]) if closest else exact_subset(mine, targets[begin]) or []
-                taken += [begin + i for i in places]
-                totals += [sum(mine[i] for i in places)] * len(places)
-                logs += ["; ".join(log)] * len(places)
-                begin = end
-            got = rows.select(["request", "id", "marks", "target"]).take(pa.array(taken, pa.int64()))
-            columns = [got.column(c) for c in ("request", "id", "marks")] + [pa.array(totals, pa.int32()), got.column("target"), pa.array(logs, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["request", "id", "marks", "total", "target", "log"])
+            yield _selections(rows, mcq_share, closest)
 
     kinds = {"request": "string", "target": "int", "id": "string", "marks": "int", "order": "binary" if dict(pool.dtypes)["order"] == "binary" else "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
     rows = pool.withColumn("target", F.col(target)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())).where("marks > 0 and target > -12")
@@ -323,33 +328,52 @@ def preset_requests(questions: DataFrame, presets: DataFrame, families: list[str
 
 
 class BuildExam:
-    """One selection for each partition of a table argument with the columns target, id, marks, order:
+    """One selection for each request of a table argument with the columns request, target, id, marks, order, read in Arrow batches:
 
         SELECT * FROM build_exam(TABLE(pool) PARTITION BY request ORDER BY (`order`, id))
 
+    Many small requests cost less together, as parts of a hash, in order of their request:
+
+        SELECT * FROM build_exam(TABLE(pool) PARTITION BY pmod(hash(request), 4096) ORDER BY (request, `order`, id))
+
     Rows above what a request can use are not kept: of equal marks ``(target + 12) / marks + 1``, so a partition needs little memory.
     """
 
     def __init__(self):
-        self.rows, self.held, self.request, self.target = [], Counter(), None, 0
-
-    def eval(self, row) -> None:
-        self.request, self.target = row["request"], int(row["target"])
-        marks = row["marks"]
-        if marks and marks > 0 and self.held[marks] <= (self.target + 12) // marks:
-            self.held[marks] += 1
-            self.rows.append((row["order"], row["id"], int(marks)))
-
-    def terminate(self):
-        rows = sorted(self.rows)
-        places = closest_subset([m for _, _, m in rows], self.target)
-        total = sum(rows[i][2] for i in places)
-        for i in places:
-            yield self.request, rows[i][1], rows[i][2], total, self.target
+        self.rows: list[pa.RecordBatch] = []
+        self.held: Counter = Counter()
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        columns = [batch.column("request").cast(pa.string()), batch.column("target").cast(pa.int32()), batch.column("id").cast(pa.string()), batch.column("marks").cast(pa.int32()), batch.column("order")]
+        batch = pa.RecordBatch.from_arrays(columns, ["request", "target", "id", "marks", "order"])
+        batch = batch.filter(pc.greater(batch.column("marks"), 0))
+        if not batch.num_rows:
+            return
+        ends = pc.run_end_encode(batch.column("request")).run_ends.to_pylist()
+        last = ends[-2] if len(ends) > 1 else 0
+        if last or self.rows and self.rows[-1].column("request")[-1].as_py() != batch.column("request")[0].as_py():
+            yield self._solved(batch.slice(0, last))
+        open_, used = batch.slice(last), []
+        for target, marks in zip(*(open_.column(c).to_numpy().tolist() for c in ("target", "marks")), strict=True):
+            used.append(self.held[marks] <= (target + 12) // marks)
+            self.held[marks] += used[-1]
+        if any(used):
+            self.rows.append(open_.filter(pa.array(used)))
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.rows:
+            yield self._solved(self.rows[0].slice(0, 0))
+
+    def _solved(self, more: pa.RecordBatch) -> pa.Table:
+        """The selections of the rows that are held, and of ``more``; nothing is held then."""
+        rows = pa.concat_batches([*self.rows, more])
+        self.rows, self.held = [], Counter()
+        rows = rows.sort_by([(c, "ascending") for c in ("request", "order", "id", "marks")])
+        return pa.Table.from_batches([_selections(rows).select(["request", "id", "marks", "total", "target"])])
 
 
 def register_build_exam(spark) -> None:
     """``build_exam`` for SQL."""
-    from pyspark.sql.functions import udtf
+    from pyspark.sql.functions import arrow_udtf
 
-    spark.udtf.register("build_exam", udtf(BuildExam, returnType="request string, id string, marks int, total int, target int"))
+    spark.udtf.register("build_exam", arrow_udtf(BuildExam, returnType="request string, id string, marks int, total int, target int"))

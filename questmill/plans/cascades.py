@@ -100,7 +100,7 @@ def q_build_exam(spark, sf_dir):
     """The closest selections of every customer by the table function, in SQL."""
     register_build_exam(spark)
     _pool(spark, sf_dir, 80).createOrReplaceTempView("questmill_pool")
-    chosen = spark.sql("SELECT * FROM build_exam(TABLE(questmill_pool) PARTITION BY request ORDER BY (`order`, id))")
+    chosen = spark.sql("SELECT * FROM build_exam(TABLE(questmill_pool) PARTITION BY pmod(hash(request), 4096) ORDER BY (request, `order`, id))")
     return chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"))
 
 

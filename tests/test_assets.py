@@ -73,3 +73,20 @@ def test_table_function_equals_the_grouped_selection(spark):
     by_function = spark.sql("SELECT * FROM build_exam(TABLE(pool_of_test) PARTITION BY request ORDER BY (`order`, id))")
     grouped = select_exams(pool).drop("log")
     assert sorted(map(tuple, by_function.collect())) == sorted(map(tuple, grouped.select(by_function.columns).collect()))
+
+
+@pytest.mark.parametrize("size", [3, 50, 10_000])
+def test_table_function_reads_many_requests_of_a_part_in_batches(spark, size):
+    rows = [(f"r{k % 13}" if k % 13 else None, 30 + k % 13, f"i{k}", (k * k) % 9, f"{(k * 37) % 101:03d}") for k in range(400)]
+    pool = spark.createDataFrame(rows, "request string, target int, id string, marks int, order string")
+    register_build_exam(spark)
+    pool.createOrReplaceTempView("pool_of_test")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, size)
+    try:
+        by_part = spark.sql("SELECT * FROM build_exam(TABLE(pool_of_test) PARTITION BY pmod(hash(request), 2) ORDER BY (request, `order`, id))").collect()
+    finally:
+        spark.conf.set(setting, before)
+    grouped = select_exams(pool).drop("log")
+    assert sorted(map(str, by_part)) == sorted(map(str, grouped.select("request", "id", "marks", "total", "target").collect()))
