@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from questmill.operators.ordered import fold_machine
 from questmill.plans import streams
+from questmill.streaming import sittings
 from questmill.streaming.progress import folded, merge_batches
 from questmill.streaming.sittings import clicked, next_status, run_sittings
 
@@ -84,3 +85,25 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         streams.shared_folder(Session())
+
+
+def test_sittings_read_their_state_once_a_batch_for_many_users(spark, tmp_path, monkeypatch):
+    calls = str(tmp_path / "calls")
+
+    def counted(minutes, fold=sittings._sittings_of):
+        def call(key, batches, state):
+            with open(calls, "a") as f:
+                f.write(f"{key[0]}\n")
+            yield from fold(minutes)(key, batches, state)
+
+        return call
+
+    monkeypatch.setattr(sittings, "_sittings_of", counted)
+    rows = [(u, at(k), 100 * u + k, 1, k % 2 == 1) for u in range(32) for k in range(8)] + [(-1, at(3), 1, 2, False), (None, at(4), 2, 3, False), (None, at(5), 4, 2, True), (99, at(300), 3, 1, False)]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = sittings.run_sittings(spark, spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), 60, "10 minutes", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    found = sorted(((r.user_id, r.opened, r.closed, r.answers, r.total, r.reason) for r in got.collect()), key=str)
+    want = [(u, at(k), at(k + 1), 2, 2, "submitted") for u in range(32) for k in range(0, 8, 2)] + [(-1, at(3), at(63), 1, 2, "time"), (None, at(4), at(5), 2, 5, "submitted")]
+    assert found == sorted(want, key=str)
+    with open(calls) as f:  # a call for the sitting of user -1 closes it
+        assert sorted(f.read().lower().replace("none", "nan").split()) == ["-1", "-1", "0", "1", "6", "nan"]
