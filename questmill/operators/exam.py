@@ -181,7 +181,7 @@ def bounded_pool(pool: DataFrame, target: str = "target", dealt: bool = False, m
     return out.unionByName(topics.select(*out.columns)).unionByName(fill.select(*out.columns)).distinct().drop("__copy")
 
 
-def _large_cut(pool: DataFrame, dealt: bool, most_rows: int) -> DataFrame:
+def _large_cut(pool: DataFrame, dealt: bool, most_rows: int, made: dict[str, Column]) -> DataFrame:
     """The pool with requests above ``most_rows`` rows cut by ``bounded_pool``; the driver sees these requests' names."""
     sizes = pool.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.max("target").alias("most"))
     large = F.when(F.col("n") > most_rows, F.struct("request", "most"))
@@ -190,9 +190,9 @@ def _large_cut(pool: DataFrame, dealt: bool, most_rows: int) -> DataFrame:
         return pool
     names, most = [r["request"] for r in seen["large"]], max(r["most"] for r in seen["large"])
     if len(names) == seen["every"]:
-        return bounded_pool(pool, dealt=dealt, most=most)
+        return bounded_pool(pool.withColumns(made), dealt=dealt, most=most).select(*pool.columns)
     is_large = F.coalesce(F.col("request").isin([n for n in names if n is not None]), F.lit(None in names))
-    return pool.where(~is_large).unionByName(bounded_pool(pool.where(is_large), dealt=dealt, most=most))
+    return pool.where(~is_large).unionByName(bounded_pool(pool.where(is_large).withColumns(made), dealt=dealt, most=most).select(*pool.columns))
 
 
 def _whole_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -222,7 +222,7 @@ def _selections(rows: pa.RecordBatch, mcq_share: float = 0.0, closest: bool = Tr
         else:
             places = closest_subset(mine, targets[begin]) if closest else exact_subset(mine, targets[begin]) or []
         taken += [begin + i for i in places]
-        totals += [sum(mine[i] for i in places)] * len(places)
+        totals += [sum([mine[i] for i in places])] * len(places)
         logs += ["; ".join(log)] * len(places)
         begin = end
     got = rows.select(["request", "id", "marks", "target"]).take(pa.array(taken, pa.int64()))
@@ -230,24 +230,31 @@ def _selections(rows: pa.RecordBatch, mcq_share: float = 0.0, closest: bool = Tr
     return pa.RecordBatch.from_arrays(columns, ["request", "id", "marks", "total", "target", "log"])
 
 
-def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True, most_rows: int = MOST_ROWS) -> DataFrame:
+def select_exams(pool: DataFrame, target: str = "target", mcq_share: float = 0.0, closest: bool = True, most_rows: int = MOST_ROWS, made: dict[str, Column] | None = None) -> DataFrame:
     """Solve one selection a request: ``pool`` has (request, target, id, marks, order) and, for papers dealt with a share of choice
     items, (kind, topic, paper, priority). Gives (request, id, marks, total, target, log). ``order`` is text or, in fewer bytes, binary.
 
     Rows move once, to their request, and are read there in order, many requests in one batch. Requests of more than ``most_rows`` rows,
     which are counted first, are cut by ``bounded_pool`` before, so that the rows of one request have a bound however large its pool.
+
+    ``made`` may give ``id`` and ``order`` as expressions of the pool's other columns: these move in their place, and are the fewer bytes
+    where they are numbers. Requests that are whole numbers move and are sorted as such.
     """
-    dealt = bool(mcq_share)
+    dealt, types = bool(mcq_share), dict(pool.dtypes)
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_requests(batches):
             yield _selections(rows, mcq_share, closest)
 
-    kinds = {"request": "string", "target": "int", "id": "string", "marks": "int", "order": "binary" if dict(pool.dtypes)["order"] == "binary" else "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
-    rows = pool.withColumn("target", F.col(target)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())).where("marks > 0 and target > -12")
-    rows = _large_cut(rows, dealt, most_rows).repartition("request").sortWithinPartitions("request", F.asc_nulls_last("order"), F.asc_nulls_last("id"), *(c for c in kinds if c not in ("request", "order", "id")))
+    kinds = {"request": types["request"] if types["request"] in ("int", "bigint") else "string", "target": "int", "id": "string", "marks": "int", "order": "binary" if types.get("order") == "binary" else "string"} | ({"kind": "string", "topic": "string", "paper": "string", "priority": "int"} if dealt else {})
+    made = {c: x.cast("string") if c == "id" else x for c, x in (made or {}).items()}
+    others = [c for c in pool.columns if c not in kinds and c != target] if made else []
+    rows = pool.withColumn("target", F.col(target)).select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items() if c not in made), *others).where("marks > 0 and target > -12")
+    rows = _large_cut(rows, dealt, most_rows, made).repartition("request").withColumns(made).select(*kinds)
+    rows = rows.sortWithinPartitions("request", F.asc_nulls_last("order"), F.asc_nulls_last("id"), *(c for c in kinds if c not in ("request", "order", "id")))
     # rows are in order: where no paper is dealt, tasks need not see what they were ordered by
-    return (rows if dealt else rows.drop("order")).mapInArrow(solved, "request string, id string, marks int, total int, target int, log string")
+    chosen = (rows if dealt else rows.drop("order")).mapInArrow(solved, f"request {kinds['request']}, id string, marks int, total int, target int, log string")
+    return chosen.withColumn("request", F.col("request").cast("string"))
 
 
 def seeded_order(key: Column, seed: str) -> Column:

@@ -9,21 +9,35 @@ from ..registry import query
 from .base import Q, line_columns, lines, papers, questions, table
 
 
+def _made():
+    """A question's id and its order in a pool, of the numbers of its row."""
+    name = F.concat(F.col("paper").cast("string"), F.lit("_q"), F.col("number").cast("string"))
+    return {"id": F.concat_ws(":", name, "part", "supp", "quantity", F.col("shipped").cast("string")), "order": F.unhex(seeded_order(name, "1"))}
+
+
+def _rows(spark, sf_dir, target: int):
+    """Each customer's questions are one request's pool: rows of numbers, of which ``_made`` gives id and order."""
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("request"))
+    q = table(spark, sf_dir, "lineitem").join(papers, "l_orderkey").select("request", *line_columns())
+    return q.select("request", F.lit(target).alias("target"), "paper", "number", "part", "supp", "quantity", "shipped", "marks")
+
+
 def _pool(spark, sf_dir, target: int):
-    """Each customer's questions are one request's pool."""
-    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    q = table(spark, sf_dir, "lineitem").join(papers, "l_orderkey").select(F.col("o_custkey").cast("string").alias("request"), *line_columns())
-    return q.select("request", F.lit(target).alias("target"), F.concat_ws(":", "id", "part", "supp", "quantity", F.col("shipped").cast("string")).alias("id"), "marks", F.unhex(seeded_order(F.col("id"), "1")).alias("order"))
+    return _rows(spark, sf_dir, target).withColumns(_made()).select(F.col("request").cast("string").alias("request"), "target", "id", "marks", "order")
+
+
+def selected(spark, sf_dir, target: int, closest: bool = True):
+    return select_exams(_rows(spark, sf_dir, target), closest=closest, made=_made())
 
 
 @query()
 def q_exam_exact(spark, sf_dir):
-    return select_exams(_pool(spark, sf_dir, 75), closest=False)
+    return selected(spark, sf_dir, 75, closest=False)
 
 
 @query()
 def q_exam_closest(spark, sf_dir):
-    return select_exams(_pool(spark, sf_dir, 80))
+    return selected(spark, sf_dir, 80)
 
 
 @query()

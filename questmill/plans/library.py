@@ -15,7 +15,7 @@ from ..operators.normalize import box, marks_of, normalize, question_type, subje
 from ..operators.taxonomy import apply_rules, consistency, led_by, promote, replaced, resolve_number, scoped, specific_first, stripped
 from ..registry import query
 from .base import Q, lines, many, questions, table
-from .exams import _pool
+from .exams import selected
 
 PARTS = "p_partkey AS part, p_brand AS unit, p_type AS label, p_size AS size, p_name AS name"
 
@@ -337,13 +337,13 @@ t AS (SELECT cust, CAST(sum(marks) AS INTEGER) AS every FROM m GROUP BY cust), u
 @query(REACH % (75, 75) + " SELECT CAST(cust AS VARCHAR) AS request, CAST(75 AS BIGINT) AS total, TRUE AS whole FROM u WHERE s = 75")
 def q_exam_exact_totals(spark, sf_dir):
     """Totals of the exact selections, and whether each item was used once."""
-    chosen = select_exams(_pool(spark, sf_dir, 75), closest=False)
+    chosen = selected(spark, sf_dir, 75, closest=False)
     return chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"))
 
 
 @query(REACH % (92, 92) + " SELECT CAST(u.cust AS VARCHAR) AS request, CAST(CASE WHEN any_value(every) <= 80 THEN any_value(every) ELSE arg_min(s, (abs(s - 80), s)) END AS BIGINT) AS total, TRUE AS whole FROM u JOIN t USING (cust) GROUP BY u.cust")
 def q_exam_closest_totals(spark, sf_dir):
-    chosen = select_exams(_pool(spark, sf_dir, 80))
+    chosen = selected(spark, sf_dir, 80)
     return chosen.groupBy("request").agg(F.sum("marks").cast("long").alias("total"), (F.count_distinct("id") == F.count("id")).alias("whole"))
 
 

@@ -235,3 +235,19 @@ def test_selections_move_numbers_to_their_request_and_no_order_to_python(spark,
     assert not any("order#" in line for line in plan.splitlines()[:2]) and "Sort [request" in plan
     text = spark.createDataFrame([(f"r{k % 3}", 20, f"i{k}", 1 + k % 7, f"{(k * 37) % 101:032x}") for k in range(60)], "request string, target int, id string, marks int, order string")
     assert sorted(select_exams(text).collect()) == sorted(select_exams(text.withColumn("order", F.unhex("order"))).collect())
+
+
+def test_selections_make_id_and_order_behind_the_move(spark, small):
+    from questmill.plans.exams import q_exam_closest
+
+    plan = q_exam_closest(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression") :]
+    assert "md5" in plan and "md5" not in moved and "concat" not in moved
+    raw = spark.createDataFrame([(k % 3, 20, 1 + k % 7, k // 2) for k in range(60)], "request long, target int, marks int, n long")
+    made = {"id": F.concat(F.lit("i"), F.col("n").cast("string")), "order": F.unhex(F.md5((F.col("n") % 9).cast("string")))}
+    want = sorted(map(str, select_exams(raw.withColumns(made).withColumn("request", F.col("request").cast("string"))).collect()))
+    assert len(want) > 3
+    for most_rows in (2, 20, 1000):
+        assert sorted(map(str, select_exams(raw, made=made, most_rows=most_rows).collect())) == want
+    mixed = raw.where("request > 0 or n < 9")
+    assert sorted(map(str, select_exams(mixed, made=made, most_rows=10).collect())) == sorted(map(str, select_exams(mixed.withColumns(made)).collect()))
